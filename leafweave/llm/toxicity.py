@@ -181,10 +181,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     keep = [id_col] if columns is None else columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = sent.id
+        key = id(model := sent.value)  # the same object for all tasks of a worker; _made keeps it alive
         if key not in _made:
             _made.clear()
-            _made[key] = sent.value, Scorer(sent.value)
+            _made[key] = model, Scorer(model)
         scorer = _made[key][1]
         for b in batches:
             scores = np.concatenate([scorer(texts) for _, texts in blocks(b.column(len(keep)))]) if len(b) else np.zeros(0)
