@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafweave.llm import exact_dedup, mixing, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from leafweave.llm import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, token_counts, toxicity, url_filter
 from leafweave.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed("spans", True).cast("binary"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
