@@ -16,10 +16,10 @@ from leafweave.llm.common import blocks, persisted
 #: Rows whose crc32 of the id as text has this remainder by 4 are held out.
 HELD_OUT = 2
 #: Bound of the training sample: labelled rows (those with the least hashes of their ids), and characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 16_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 8_000
 THRESHOLD = 0.3
-WINDOW, DIMENSIONS, BUCKETS, GRAMS = 5, 8, 1 << 17, (3, 4, 5)
-EPOCHS, WARM = 120, 30
+WINDOW, DIMENSIONS, BUCKETS, GRAMS = 3, 8, 1 << 17, (3, 4, 5)
+EPOCHS, WARM = 160, 30
 #: Words a worker keeps the weights of; on reaching it, it starts anew.
 MOST_WORDS = 400_000
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA1, 0xAB, 0xBB, 0xBF, 0x201C, 0x201D, 0x2018, 0x2019, 0x2026]))
@@ -75,43 +75,47 @@ class Model:
         return _means(self.weights, *features(words))
 
 
-def train(texts: list[str], labels: list[int], window: int = WINDOW, epochs: int = EPOCHS, seed: int = 1) -> Model:
+def train(texts: list[str], labels: list[int], share: float | None = None, window: int = WINDOW, epochs: int = EPOCHS, seed: int = 1) -> Model:
     """Embeddings and softmax, trained jointly by Adam on whole batches. A text's logit is its highest window's, so that
     a few words count in a text of any length; in the first epochs it is that of all its words' average, from which the
-    windows to look at emerge. Without texts of both labels the model gives every text the same score."""
-    split = [t.lower().split() for t in texts]
-    y = np.array([v for v, s in zip(labels, split, strict=True) if s], float)
-    split = [s for s in split if s]
-    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
+    windows to look at emerge. share: of label 1 among all such texts, where the sample has another; texts then count
+    by how much of theirs the sample has. Without texts of both labels the model gives every text the same score."""
+    number: dict[str, int] = {}
+    coded = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
+    y = np.array([v for v, s in zip(labels, coded, strict=True) if len(s)], float)
+    coded = [s for s in coded if len(s)]
+    sampled = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
+    share = min(max(sampled if share is None else share, 1e-3), 1 - 1e-3)
+    counting = np.where(y > 0, share / sampled, (1 - share) / (1 - sampled))
     bias = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), bias, window)
-    number: dict[str, int] = {}
-    words = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), np.int32)
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    del split
-    buckets, counts = features(list(number))
+    words, sizes = np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+    known = list(number)
+    made = [features(known[i : i + 20_000]) for i in range(0, len(known), 20_000)]  # its working memory is for a part
+    buckets, counts = np.concatenate([b for b, _ in made]), np.concatenate([c for _, c in made])
+    del number, known, coded, made
     begin = np.cumsum(counts) - counts
-    first, width, per = _windows(sizes, window)
+    first, width, per = (x.astype(np.int32) for x in _windows(sizes, window))
     starts, whole = np.cumsum(per) - per, np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w = rng.normal(0, 1, DIMENSIONS).astype(np.float32)
     moments = [[np.zeros_like(e), np.zeros_like(e)], [np.zeros_like(w), np.zeros_like(w)], [0.0, 0.0]]
-    owner = np.repeat(np.arange(len(sizes)), per)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), per)
     for epoch in range(1, epochs + 1):
         s = _means(e @ w, buckets, counts)[words]
         if epoch <= WARM:
             z = np.add.reduceat(s, whole) / sizes + bias
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            g = counting * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
             grad_word = np.bincount(words, np.repeat(g / sizes, sizes), len(counts))
         else:
-            c = np.concatenate([[0.0], np.cumsum(s)])
-            means = (c[first + width] - c[first]) / width
+            c = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
+            means = ((c[first + width] - c[first]) / width).astype(np.float32)
             best = np.maximum.reduceat(means, starts)
             top = np.flatnonzero(means == best[owner])
             top = top[np.unique(owner[top], return_index=True)[1]]
-            g = 1 / (1 + np.exp(-np.clip(best + bias, -30, 30))) - y
+            g = counting * (1 / (1 + np.exp(-np.clip(best + bias, -30, 30))) - y)
             k = width[top]
             at = np.repeat(first[top], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             grad_word = np.bincount(words[at], np.repeat(g / k, k), len(counts))
@@ -162,13 +166,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from labelled rows that aren't held out: those `rows` with the least hashes of their ids, and of them
-    the texts of up to `chars` characters. Only this sample comes to the driver: rows x chars characters at most."""
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = persisted(known.orderBy(F.xxhash64(id_col), id_col).limit(rows))
+    """A model from labelled rows that aren't held out: of either label those rows / 2 with the least hashes of their
+    ids, and of them the texts of up to `chars` characters. Only this sample comes to the driver: rows x chars
+    characters at most. Of an id with both labels 1 counts; labels other than 0 and 1 do not."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    share = known.agg(F.avg("y")).head()[0]
+    some = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows // 2)
+    known = persisted(some(0).union(some(1)))
     sample = docs.select(id_col, F.col(text_col).alias("t")).where(F.length("t") <= chars).join(F.broadcast(known), id_col).select(id_col, "t", "y")
     got = sample.toArrow().sort_by([(id_col, "ascending"), ("y", "ascending")])
-    return train(got["t"].to_pylist(), got["y"].to_pylist())
+    return train(got["t"].to_pylist(), got["y"].to_pylist(), share)
 
 
 _made: dict[int, tuple[object, Scorer]] = {}
