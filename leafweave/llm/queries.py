@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafweave.llm import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from leafweave.llm import exact_dedup, mixing, near_dedup, packing, quality, quote_links, secret_scan, token_counts, toxicity, url_filter
 from leafweave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.linked(table(spark, sf_dir, "conversations"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -182,7 +182,7 @@ _made: dict[int, tuple[object, Scorer]] = {}
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """id_col, or the columns named, and score (0 to 1) of each row, without a shuffle. Every window of the whole text
+    """id_col, or the columns named, and _score (0 to 1) of each row, without a shuffle. Every window of the whole text
     counts; texts without words (null ones too) score 0. Repeated rows are scored each; empty tables give no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [id_col] if columns is None else columns
