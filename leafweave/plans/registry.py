@@ -1,11 +1,329 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""Queries over the driver's tables; their SQL twins are in sql.py."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from leafweave.functions import text as T
+from leafweave.operators import anomalies, annotations, chapters, evaluate, footnotes, headers, html, layout, structure
+from leafweave.plans import sql
+from leafweave.plans.views import chapters as chapters_of
+from leafweave.plans.views import lines as lines_of
+from leafweave.plans.views import turns as turns_of
+from leafweave.sources import tables
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def word_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d).select("book", "chapter", T.token_count("text").alias("word_count"))
+    return chapters.word_boundaries(c)
+
+
+@query
+def paragraph_starts(spark: SparkSession, d: str) -> DataFrame:
+    words, starts = T.paragraph_tokens("text", "\n")
+    return chapters_of(spark, d).select("chapter", F.size(words).cast("long").alias("words"), F.array_join(starts, ",").alias("starts"))
+
+
+@query
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return chapters_of(spark, d).select("chapter", F.md5(F.array_join(T.tokens("text"), "|").cast("binary")).alias("tokens"), F.size(T.tokens("text")).cast("long").alias("n"))
+
+
+@query
+def repeated_short_lines(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.repeated_lines(chapters_of(spark, d))
+
+
+@query
+def header_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.header_leakage(chapters_of(spark, d)).select("book", "severity", "text", "count")
+
+
+@query
+def header_leakage_plain(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.header_leakage(chapters_of(spark, d), numbers=False).select("book", "severity", "text", "count")
+
+
+@query
+def garbage_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.garbage_ratio(chapters_of(spark, d)).select("book", "chapter", "severity", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def corpus_garbage(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.corpus_garbage(chapters_of(spark, d)).select("book", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.ocr_quality(chapters_of(spark, d)).select("book", F.round("score", 6).alias("score"))
+
+
+@query
+def stub_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.stub_paragraphs(chapters_of(spark, d), r"\s").select("book", "chapter", "severity", "text", "count")
+
+
+@query
+def missing_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.missing_breaks(chapters_of(spark, d)).select("book", "chapter", "severity", "count")
+
+
+@query
+def word_count_anomaly(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.word_count_anomaly(chapters_of(spark, d)).select("book", "chapter", "severity", "count", "median")
+
+
+@query
+def duplicate_text(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.duplicate_text(chapters_of(spark, d)).select("book", "chapter", "other", "severity", "count")
+
+
+@query
+def title_garbling(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.read(spark, d, "pages").select(F.lit("pages").alias("book"), F.col("page_id").alias("chapter"), T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+    return anomalies.title_garbling(p).select("chapter", "severity", F.round("ratio", 6).alias("ratio"), "count")
+
+
+@query
+def image_shapes(spark: SparkSession, d: str) -> DataFrame:
+    c = tables.read(spark, d, "events").select(F.col("event_type").alias("book"), (F.col("user_id") % 2).cast("int").alias("width"), F.lit(7).alias("height"))
+    return anomalies.image_shapes(c.where("width = 0").unionByName(c.where("book = 'click'"))).select("book", "text", "count")
+
+
+@query
+def anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d)
+    found = anomalies.garbage_ratio(c).unionByName(anomalies.missing_breaks(c)).unionByName(anomalies.word_count_anomaly(c))
+    return anomalies.severities(found)
+
+
+@query
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read(spark, d, "pages").select("page_id", T.strip_html("html").alias("text"), T.heading_level("html").alias("level"))
+
+
+@query
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.read(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<(?:p|li|h1)>([^<]*)"), F.lit(1))).alias("k", "block"))
+    return p.select("page_id", "k", T.decode_entities("block").alias("block"))
+
+
+@query
+def block_html(spark: SparkSession, d: str) -> DataFrame:
+    return chapters_of(spark, d).select("chapter", F.md5(T.paragraphs_html("text").cast("binary")).alias("html"))
+
+
+@query
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    p = chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), F.substring("text", 1, 10).alias("text"))
+    return structure.page_chunks(p).select("book", "chunk", "title", "first_page", "last_page", F.length("text").alias("chars"))
+
+
+@query
+def chapter_rollup(spark: SparkSession, d: str) -> DataFrame:
+    t = annotations.chapter_of(turns_of(spark, d))
+    out = t.groupBy("book", "chapter_start").agg(F.first("chapter_title").alias("title"), F.count("*").alias("pages"), F.sum(T.word_count("text")).alias("words"), F.array_join(F.expr("transform(array_sort(collect_list(struct(page, text))), x -> x.text)"), "\n\n").alias("body"))
+    return out.select("book", "chapter_start", "title", "pages", "words", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query
+def boundary_f1(spark: SparkSession, d: str) -> DataFrame:
+    t = turns_of(spark, d)
+    p = t.where("is_start").select("book", F.col("page").alias("start_page"))
+    n = t.where("page % 3 = 0").select("book", F.col("page").alias("start_page"))
+    return evaluate.chapter_boundaries(p, n).select("book", F.round("score", 6).alias("score"))
+
+
+@query
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d)
+    return evaluate.body_text_completeness(c, c.where("chapter % 2 = 0")).select("book", F.round("score", 6).alias("score"))
+
+
+@query
+def back_matter_f1(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d)
+    p = c.select("book", "title", (F.col("chapter") % 3 == 0).alias("is_back_matter"))
+    n = c.select("book", F.when(F.col("chapter") % 5 == 0, "Notes on it").otherwise(F.lit("Text")).alias("title"), F.lit(False).alias("is_back_matter"))
+    return evaluate.back_matter_detection(p, n).select("book", F.round("score", 6).alias("score"))
+
+
+@query
+def header_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that many documents have, as running headers of an annotation, against the documents."""
+    c = chapters_of(spark, d)
+    top = anomalies.repeated_lines(c, numbers=False).where("count >= 3")
+    a = top.groupBy("book").agg(F.collect_list(F.struct(F.lit("running_header").alias("type"), F.lit(0).alias("readingOrder"), F.col("line").alias("text"))).alias("regions"))
+    return evaluate.running_header_clean(a, c).select("book", F.round("score", 6).alias("score"))
+
+
+@query
+def font_mode_median(spark: SparkSession, d: str) -> DataFrame:
+    df = lines_of(spark, d).withColumn("bucket", F.round(F.col("font_size") * 10).cast("int"))
+    mode = df.groupBy("book", "page", "bucket").agg(F.count("*").alias("c")).groupBy("book", "page").agg(F.max_by("bucket", F.struct("c", "bucket")).alias("mode"))
+    return mode.join(df.groupBy("book", "page").agg(F.median("width").alias("width"), F.var_pop("font_size").alias("variance")), ["book", "page"]).select("book", "page", "mode", F.round("width", 6).alias("width"), F.round("variance", 6).alias("variance"))
+
+
+@query
+def paragraphs_from_lines(spark: SparkSession, d: str) -> DataFrame:
+    out = layout.paragraphs(lines_of(spark, d).withColumn("col", F.lit(0)))
+    return out.select("book", "page", "par", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query
+def column_split(spark: SparkSession, d: str) -> DataFrame:
+    both = lines_of(spark, d, "wide").unionByName(lines_of(spark, d).withColumn("page", -F.col("page") - 1))
+    return layout.columns_split(both).groupBy("page", "col").agg(F.count("*").alias("lines"), F.min("line_no").alias("first"))
+
+
+@query
+def page_numbers_stripped(spark: SparkSession, d: str) -> DataFrame:
+    df = lines_of(spark, d).withColumn("text", F.when((F.col("line_no") < 2) | (F.col("line_no") % 7 > 4), F.col("line_no").cast("string")).otherwise(F.col("text"))).withColumn("col", F.lit(0))
+    return layout.page_numbers_stripped(df).groupBy("page").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("lines"))
+
+
+@query
+def superscript_merge(spark: SparkSession, d: str) -> DataFrame:
+    out = layout.superscripts_joined(lines_of(spark, d, "marks"))
+    return out.select("page", "line_no", F.md5(F.col("text").cast("binary")).alias("text"), F.round("max_x", 3).alias("max_x"))
+
+
+@query
+def footnotes_split(spark: SparkSession, d: str) -> DataFrame:
+    out = footnotes.starts(lines_of(spark, d).withColumn("col", F.lit(0)))
+    return out.where("i = 0").select("page", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), F.col("strategy").cast("long").alias("strategy"))
+
+
+@query
+def footnotes_parsed(spark: SparkSession, d: str) -> DataFrame:
+    _, notes = footnotes.separated(lines_of(spark, d).withColumn("col", F.lit(0)))
+    return notes.select("page", F.posexplode("footnotes").alias("k", "f")).select("page", "k", F.col("f.number").alias("number"), F.md5(F.col("f.text").cast("binary")).alias("text"))
+
+
+@query
+def calibration_interp(spark: SparkSession, d: str) -> DataFrame:
+    points = structure.calibrated(spark.sql("SELECT * FROM VALUES ('a', 3, 1), ('a', 10, 20), ('a', 15, 18), ('a', 20, 40), ('b', 5, 7), ('c', 9, 2) AS t(book, toc, pdf)"))
+    wanted = spark.sql("SELECT book, toc FROM VALUES ('a'), ('b'), ('c') AS b(book), VALUES (1), (10), (13), (15), (20), (30) AS t(toc)")
+    return structure.interpolated(wanted, points).select("book", "toc", "pdf")
+
+
+@query
+def dice_similarity(spark: SparkSession, d: str) -> DataFrame:
+    b = tables.read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("text"))
+    pairs = b.alias("a").join(b.alias("b"), (F.col("b.item_id") - F.col("a.item_id")).between(1, 5))
+    return pairs.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), F.round(T.dice("a.text", "b.text"), 6).alias("dice"))
+
+
+@query
+def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+    return p.alias("a").join(p.alias("b"), F.col("b.page_id") == F.col("a.page_id") + 1).select(F.col("a.page_id").alias("page_id"), F.round(T.title_match("a.title", "b.title"), 6).alias("match"))
+
+
+@query
+def header_candidates(spark: SparkSession, d: str) -> DataFrame:
+    p = chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), "text")
+    return headers.candidates(p, "\n")
+
+
+@query
+def header_strip(spark: SparkSession, d: str) -> DataFrame:
+    p = chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), "text")
+    out = headers.stripped(p, headers.running_headers(p, "\n"), "\n")
+    return out.select("page_idx", F.length("text").alias("chars"))
+
+
+@query
+def regression_gate(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d)
+    now = evaluate.ocr_quality(c).select("book", F.lit("ocr_quality").alias("dimension"), "score")
+    then = evaluate.ocr_quality(c.where("chapter % 3 = 0")).select("book", F.lit("ocr_quality").alias("dimension"), "score")
+    return evaluate.gate(now, then).select("book", "dimension", F.round("delta", 6).alias("delta"), "status")
+
+
+@query
+def weighted_overall(spark: SparkSession, d: str) -> DataFrame:
+    s = chapters_of(spark, d).groupBy("book").agg((F.count("*") / 1000).alias("a"), F.least(F.lit(1.0), F.avg(F.length("text")) / 5000).alias("b"))
+    long = s.select("book", F.explode(F.create_map(F.lit("chapter_titles"), F.col("a"), F.lit("ocr_quality"), F.col("b"), F.lit("reading_order"), F.lit(1.0))).alias("dimension", "score"))
+    return evaluate.overall(evaluate.weighted(long), 0.1).select("book", F.round("overall", 6).alias("overall"), F.col("pass").alias("passed"))
+
+
+@query
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda c: annotations.cache_key(T.content_key(F.col(c).cast("string")), "model", "v1")
+    pages = tables.read(spark, d, "documents").select("doc_id", key("doc_id").alias("key"))
+    return annotations.cache_misses(pages, tables.read(spark, d, "labels").select(key("doc_id").alias("key"))).select("doc_id", "key")
+
+
+@query
+def triage_merge(spark: SparkSession, d: str) -> DataFrame:
+    t = turns_of(spark, d).select("book", "page", F.when(F.col("is_start"), "two_column").otherwise("single_column").alias("layout"), F.substring("text", 1, 9).alias("chapterTitle"))
+    detail = t.where("page % 2 = 0").select("book", "page", "layout", F.upper("chapterTitle").alias("chapterTitle"))
+    return annotations.merged(t, detail)
+
+
+@query
+def ocr_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d).withColumn("text", F.replace(F.col("text"), F.lit(" of the "), F.lit(" OfThe ")))
+    return c.select("chapter", F.md5(layout.ocr_cleaned(F.col("text")).cast("binary")).alias("text"))
+
+
+@query
+def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.range(1, 61).select(F.col("id").cast("int").alias("n"))
+    return n.select("n", T.int_to_roman("n").alias("roman"), T.roman_to_int(T.int_to_roman("n")).alias("back"))
+
+
+@query
+def contents_table(spark: SparkSession, d: str) -> DataFrame:
+    c = chapters_of(spark, d).select("book", F.col("chapter").alias("chapter_idx"), "title", T.token_count("text").alias("word_count"))
+    return chapters.contents_table(chapters.word_boundaries(c, order="chapter_idx"))
+
+
+@query
+def book_totals(spark: SparkSession, d: str) -> DataFrame:
+    return chapters.metadata(chapters_of(spark, d).select("book", T.token_count("text").alias("word_count"))).select("book", "total_chapters", "total_words")
+
+
+@query
+def images_distinct(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.read(spark, d, "events").select(F.col("event_type").alias("book"), F.col("event_id").alias("page_idx"), F.lit(0).alias("k"), T.image_key(F.col("user_id") % 50, F.lit(3), F.lit(4)).alias("key"))
+    return chapters.images_distinct(e).select("book", "page_idx", "key")
+
+
+@query
+def logical_pages(spark: SparkSession, d: str) -> DataFrame:
+    out = layout.logical_pages(lines_of(spark, d))
+    return out.select("book", "page", "col", "page_idx", F.length("text").alias("chars"), F.size("footnotes").alias("notes"))
+
+
+@query
+def rendered_html(spark: SparkSession, d: str) -> DataFrame:
+    c = lines_of(spark, d).groupBy("book", F.col("page").alias("chapter")).agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)"), "\n\n").alias("text"))
+    return html.rendered(c).select("book", "chapter", F.length("html").alias("chars"), F.contains("html", F.lit("transposed-endnotes")).alias("notes"))
+
+
+@query
+def top_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The three most repeated short lines of each book."""
+    r = anomalies.repeated_lines(chapters_of(spark, d), numbers=False)
+    return r.withColumn("k", F.row_number().over(W.partitionBy("book").orderBy(F.desc("count"), "line"))).where("k <= 3")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
