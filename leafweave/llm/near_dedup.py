@@ -21,6 +21,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Rows of a bucket that are compared at once.
 BLOCK = 256
+#: Shingles of the texts of a block, on average.
+BLOCK_SHINGLES = 250_000
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -117,22 +119,35 @@ def _likely(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return (a == b).sum(axis=-1) >= least * length
 
 
+def _bag(text: str) -> np.ndarray:
+    x = np.sort(shingles(text))
+    rank = np.arange(len(x)) - np.searchsorted(x, x)  # how many equal ones came before
+    return np.sort(splitmix(x ^ splitmix(rank.astype(np.uint64))))
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Items that two sorted arrays without repeats share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = len(y) - 1
+    return int((y[at] == x).sum())
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose texts' shingle multisets are so similar. texts: id, t of all texts that pairs name. Texts
     move to the pairs, which are as many as texts for the most part; a hot text's pairs are split by adaptive execution."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
+        last: tuple = (None, None)
         for b in batches:
-            a_ids, b_ids, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i, a in enumerate(a_ids):
-                if a not in last:
-                    last = {a: np.sort(shingles(b.column(2)[i].as_py()))}
-                x, y = last[a], np.sort(shingles(b.column(3)[i].as_py()))
-                rank = lambda s: np.arange(len(s)) - np.searchsorted(s, s)  # noqa: E731  how many equal ones came before
-                x2, y2 = splitmix(x ^ splitmix(rank(x).astype(np.uint64))), splitmix(y ^ splitmix(rank(y).astype(np.uint64)))
-                both = len(np.intersect1d(x2, y2, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if a != last[0]:
+                    last = a, _bag(x.as_py())
+                other = _bag(y.as_py())
+                both = _overlap(last[1], other)
+                keep.append(both >= similarity * (len(last[1]) + len(other) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -156,34 +171,52 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("id", "label")
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """id, bag: sorted hashes of a text's (shingle, how many equal ones came before), so that the overlap of multisets is
+    that of sets."""
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, some in blocks(b.column(1), 2 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array([_bag(t).tobytes() for t in some], pa.binary())], names=["id", "bag"])
+
+    return texts.select("id", "t").mapInArrow(bag, f"id {texts.schema['id'].dataType.simpleString()}, bag binary")
+
+
 def _crossed(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """a, b: pairs of rows (bucket columns band and key, id, label, n, sketch, rep) of one bucket with different labels whose
-    sizes and sketches allow the similarity. In each bucket the rows outside its most frequent label are the queries,
-    against all its rows, in blocks: no row is left out and no pair becomes a row before its sketches agree."""
-    size = rows.groupBy("band", "key", "label").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("rows"), F.count("*").alias("labels"))
+    """a, b: verified links between rows (bucket columns band and key, id, label, n, sketch, bands, bag) of one bucket with
+    different labels. In each bucket the rows outside its most frequent label are the queries, against all its rows,
+    in blocks bounded in rows and bytes. No row is left out; a pair is verified within its block, in the first
+    band that both share, once its sizes and sketches allow the similarity, and becomes a row only as a link."""
+    size = rows.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("band", "key")
+    size = size.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.greatest(F.ceil(F.sum("c") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"), F.count("*").alias("labels"))
     rows = rows.join(size.where("labels > 1"), ["band", "key"])
-    item = F.struct("id", "label", "n", "sketch")
-    part = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.ceil(F.col("rows") / block))
+    item = F.struct("id", "label", "n", "sketch", "bands", "bag")
+    part = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.col("parts"))
     asked = rows.where("label <> major").groupBy("band", "key", part(1).alias("q")).agg(F.collect_list(item).alias("asking"))
     held = rows.groupBy("band", "key", part(2).alias("h")).agg(F.collect_list(item).alias("holding"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in zip(b.column(0), b.column(1), strict=True):
+            for band, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 x, y = x.values, y.values
-                (ia, la, na, sa), (ib, lb, nb, sb) = ([v.field(k) for k in range(4)] for v in (x, y))
+                (ia, la, na, sa, ka, ba), (ib, lb, nb, sb, kb, bb) = ([v.field(k) for k in range(6)] for v in (x, y))
                 na, nb, la, lb = np.asarray(na), np.asarray(nb), np.asarray(la), np.asarray(lb)
                 sa, sb = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (sa, sb))
+                ka, kb = (np.asarray(k.flatten()).reshape(len(k), -1) for k in (ka, kb))
+                bb = [np.frombuffer(v.as_buffer(), np.uint64) for v in bb]
                 for i in range(len(x)):
-                    fits = (lb != la[i]) & (np.minimum(nb, na[i]) >= similarity * np.maximum(nb, na[i]) - 1e-9)
-                    at = np.flatnonzero(fits)
+                    at = np.flatnonzero((lb != la[i]) & (np.minimum(nb, na[i]) >= similarity * np.maximum(nb, na[i]) - 1e-9))
                     at = at[_likely(sb[at], sa[i], similarity)]
-                    if len(at):
+                    at = at[(kb[at] == ka[i]).argmax(axis=1) == band]
+                    mine = np.frombuffer(ba[i].as_buffer(), np.uint64)
+                    both = [_overlap(mine, bb[j]) for j in at.tolist()]
+                    at = [j for j, n in zip(at.tolist(), both, strict=True) if n >= similarity * (len(mine) + len(bb[j]) - n) - 1e-9]
+                    if at:
                         yield pa.RecordBatch.from_arrays([pa.array([ia[i].as_py()] * len(at), ia.type), ib.take(pa.array(at))], names=["a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = asked.join(held, ["band", "key"]).select("asking", "holding").mapInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return asked.join(held, ["band", "key"]).select("band", "asking", "holding").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -196,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        common original, is compared with every other: pairs grow with the rows of buckets, not with their square.
        Verified pairs are linked, and their components labelled.
     3. Where a bucket still has more than one label, its other pairs of different labels are compared too, in blocks,
-       first by sketches, then as texts. So no pair that shares a band is left out: links within one component would
+       first by sketches, then as multisets. So no pair that shares a band is left out: links within one component would
        not change it.
     An id that stands for several texts takes part in no links; its rows are classed by their words alone.
     Rows with a null id, and texts without words (null ones too), are no duplicates of anything: they are kept, each
@@ -223,11 +256,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     labelled = ranked.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = persisted(labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key"))
-    open_rows = labelled.join(mixed, ["band", "key"]).join(sketches, "id")
-    crossed = persisted(_crossed(open_rows, similarity, block).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    open_rows = labelled.join(mixed, ["band", "key"])
+    bags = _bags(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
+    crossed = persisted(_crossed(open_rows.join(first.select("id", "sketch", "bands"), "id").join(bags, "id"), similarity, block))
     if crossed.head(1):
-        links = persisted(links.union(_verified(crossed, texts, similarity)))
-        labels = components(links)
+        labels = components(links.union(crossed))
     classes = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("words", "rep_row", F.coalesce("label", "rep").alias("class_id"))
     out = made.join(classes, "words", "left").withColumn("class_id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("class_id")).otherwise(F.col("id")))
     kept = (F.col("id").isNull()) | (F.col("n") == 0) | ((F.col("id") == F.col("class_id")) & (F.col("row") == F.col("rep_row")))
