@@ -169,7 +169,7 @@ def decode_entities(text: Column | str) -> Column:
     for entity, char in ENTITIES:
         s = F.replace(s, F.lit(entity), F.lit(char))
     codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,7});"), F.lit(1)))
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32BE")
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
     s = F.aggregate(codes, s, lambda t, n: F.when(n.cast("int").between(1, 0x10FFFF) & ~n.cast("int").between(0xD800, 0xDFFF), F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), char(n))).otherwise(t))
     return F.replace(s, F.lit("&nbsp;"), F.lit(" "))
 

@@ -90,11 +90,12 @@ def word_count_anomaly(chapters: DataFrame) -> DataFrame:
 def duplicate_text(chapters: DataFrame, window: int = 20) -> DataFrame:
     """Pairs of chapters of a book that share more than three runs of 20 words, lower-cased.
 
-    Shingles are compared by two 64-bit hashes. Chapters with the same set of shingles stand for each other: they
+    Shingles are compared by 64-bit hashes of their words' hashes. Chapters with the same set of shingles stand for each other: they
     are collapsed to one before pairs are made and pairs of sets expanded by their chapters at the end, so a text
     copied often costs one set's pairs and only the answer's own size."""
     words = chapters.select("book", "chapter", F.transform(T.words(F.lower("text")), lambda w: F.xxhash64(w)).alias("h"))
-    run = F.expr(f"CASE WHEN size(h) >= {window} THEN transform(sequence(1, size(h) - {window - 1}), i -> struct(xxhash64(slice(h, i, {window})) AS a, hash(slice(h, i, {window})) AS b)) END")
+    # The words' hashes are bound to a variable: predicates that are pushed down would else work them out for each window.
+    run = F.expr(f"element_at(transform(array(h), w -> CASE WHEN size(w) >= {window} THEN transform(sequence(1, size(w) - {window - 1}), i -> xxhash64(slice(w, i, {window}))) END), 1)")
     sets = words.where(F.size("h") >= window).select("book", "chapter", F.sort_array(F.array_distinct(run)).alias("shingles"))
     sets = sets.withColumn("set", F.sha2(F.to_json("shingles"), 256))
     one = sets.groupBy("book", "set").agg(F.min("chapter").alias("rep"), F.count("*").alias("copies"))

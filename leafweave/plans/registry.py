@@ -92,7 +92,7 @@ def duplicate_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def title_garbling(spark: SparkSession, d: str) -> DataFrame:
     p = tables.read(spark, d, "pages").select(F.lit("pages").alias("book"), F.col("page_id").alias("chapter"), T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
-    return anomalies.title_garbling(p).select("chapter", "severity", F.round("ratio", 6).alias("ratio"), "count")
+    return anomalies.title_garbling(p).select("chapter", "severity", F.coalesce(F.round("ratio", 6), F.lit(0.0)).alias("ratio"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
 @query

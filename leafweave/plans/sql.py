@@ -83,8 +83,8 @@ ODD_TITLE = r"[^a-zA-Z0-9\s.,:;''\-\x{2014}\x{2013}()]"
 SQL["title_garbling"] = rf"""WITH t AS (SELECT page_id AS chapter, {_decoded(TITLE)} AS title FROM pages), s AS (
   SELECT chapter, title, len(regexp_extract_all(title, '{ODD_TITLE}')) / length(title) AS ratio, string_split_regex(title, '\s+') AS w FROM t WHERE length(title) >= 3),
 g AS (SELECT *, CAST(len(list_filter(w, lambda x: length(x) > 3 AND regexp_matches(x, '[^a-zA-Z0-9''\-]'))) AS BIGINT) AS n FROM s)
-SELECT chapter, 'HIGH' AS severity, round(ratio, 6) AS ratio, CAST(NULL AS BIGINT) AS count FROM g WHERE ratio > 0.3
-UNION ALL SELECT chapter, 'MEDIUM', NULL, n FROM g WHERE NOT regexp_matches(title, '^[A-Z\s]+$') AND regexp_matches(title, '^[A-Z]') AND n > 0 AND n / len(w) > 0.3"""
+SELECT chapter, 'HIGH' AS severity, round(ratio, 6) AS ratio, CAST(0 AS BIGINT) AS count FROM g WHERE ratio > 0.3
+UNION ALL SELECT chapter, 'MEDIUM', 0.0, n FROM g WHERE NOT regexp_matches(title, '^[A-Z\s]+$') AND regexp_matches(title, '^[A-Z]') AND n > 0 AND n / len(w) > 0.3"""
 SQL["image_shapes"] = """WITH i AS (SELECT event_type AS book, user_id % 2 AS width FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_type, user_id % 2 FROM events WHERE event_type = 'click')
 SELECT book, min(width) || 'x7' AS text, count(*) AS count FROM i GROUP BY book HAVING count(*) >= 5 AND min(width) = max(width)"""
 _STRIPPED = _decoded("regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')")
@@ -113,7 +113,8 @@ SQL["back_matter_f1"] = f"""WITH {CHAPTERS}, c AS (SELECT book, count(*) FILTER
 SELECT book, round(CASE WHEN p = 0 AND n = 0 THEN 1.0 WHEN p = 0 THEN 0.5 WHEN n = 0 THEN 0.0 ELSE 2 * least(p, n) / (p + n) END, 6) AS score FROM c"""
 SQL["header_clean"] = rf"""WITH {CHAPTERS}, {SHORT}, h AS (SELECT book, trim(line) AS h FROM short GROUP BY ALL HAVING count(*) >= 3 AND length(trim(line)) > 5),
 l AS (SELECT book, trim(unnest(string_split(text, chr(10)))) AS line FROM chapters),
-x AS (SELECT l.book, count(*) AS lines, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.book = l.book AND (h.h = l.line OR h.h = trim(regexp_replace(l.line, '\d+', '', 'g'))))) AS hits FROM l GROUP BY l.book)
+x AS (SELECT l.book, count(*) AS lines, count(*) FILTER (a.h IS NOT NULL OR b.h IS NOT NULL) AS hits FROM l LEFT JOIN h a ON a.book = l.book AND a.h = l.line
+  LEFT JOIN h b ON b.book = l.book AND b.h = trim(regexp_replace(l.line, '\d+', '', 'g')) GROUP BY l.book)
 SELECT book, round(greatest(0.0, 1 - 100 * hits / lines), 6) AS score FROM x"""
 
 SQL["font_mode_median"] = f"""WITH {LINE_VIEW}, c AS (SELECT book, page, CAST(round(font_size * 10) AS INT) AS b, count(*) AS c FROM lines GROUP BY ALL)
