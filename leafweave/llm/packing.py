@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,12 +47,13 @@ class WordIds:
         self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
     def _part(self, part: str) -> bytes:
         out = self.parts.get(part)
         if out is None:
-            out = self.parts[part] = self._pack([t.id for t in self.model("".join(map(self.letters.__getitem__, part.encode())))])
+            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            out = self.parts[part] = self._pack([t.id for t in self.model(spelled)])
         return out
 
     def _learn(self, words: set[str]) -> None:
