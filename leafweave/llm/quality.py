@@ -12,7 +12,7 @@ WINDOW = 8
 #: Base rules: fewest words, largest share (in hundredths) of words in repeated windows.
 FEWEST_WORDS, MOST_REPEAT = 20, 30
 #: Measures held against thresholds, and how far beyond its quartiles a group's threshold is at least.
-MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.30, "repeat_share": 0.20, "word_length": 2.0}
+MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.50, "repeat_share": 0.30, "word_length": 2.0}
 #: Spreads between the quartiles that a measure may lie beyond them; smallest group with thresholds of its own.
 SPREADS, LEAST_ROWS = 4.0, 200
 #: Error of the sketches' ranks: one part in so many.
