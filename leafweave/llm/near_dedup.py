@@ -205,15 +205,21 @@ def _crossed(rows: DataFrame, similarity: float, block: int) -> DataFrame:
                 sa, sb = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (sa, sb))
                 ka, kb = (np.asarray(k.flatten()).reshape(len(k), -1) for k in (ka, kb))
                 bb = [np.frombuffer(v.as_buffer(), np.uint64) for v in bb]
-                for i in range(len(x)):
-                    at = np.flatnonzero((lb != la[i]) & (np.minimum(nb, na[i]) >= similarity * np.maximum(nb, na[i]) - 1e-9))
-                    at = at[_likely(sb[at], sa[i], similarity)]
-                    at = at[(kb[at] == ka[i]).argmax(axis=1) == band]
-                    mine = np.frombuffer(ba[i].as_buffer(), np.uint64)
-                    both = [_overlap(mine, bb[j]) for j in at.tolist()]
-                    at = [j for j, n in zip(at.tolist(), both, strict=True) if n >= similarity * (len(mine) + len(bb[j]) - n) - 1e-9]
-                    if at:
-                        yield pa.RecordBatch.from_arrays([pa.array([ia[i].as_py()] * len(at), ia.type), ib.take(pa.array(at))], names=["a", "b"])
+                fits = (la[:, None] != lb) & (np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) - 1e-9)
+                for k in range(band):  # pairs that share an earlier band are compared there
+                    fits &= ka[:, k, None] != kb[:, k]
+                left, right = np.nonzero(fits)
+                found: list[tuple[int, int]] = []
+                for at in range(0, len(left), 1 << 16):
+                    i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+                    likely = _likely(sa[i], sb[j], similarity)
+                    for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+                        mine = np.frombuffer(ba[i].as_buffer(), np.uint64)
+                        both = _overlap(mine, bb[j])
+                        if both >= similarity * (len(mine) + len(bb[j]) - both) - 1e-9:
+                            found.append((i, j))
+                if found:
+                    yield pa.RecordBatch.from_arrays([ia.take(pa.array([i for i, _ in found])), ib.take(pa.array([j for _, j in found]))], names=["a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return asked.join(held, ["band", "key"]).select("band", "asking", "holding").mapInArrow(compare, f"a {kind}, b {kind}")
