@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafweave.llm.common import SPACE, broadcast_if_small, persisted
@@ -11,8 +11,12 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Base rules: fewest words, largest share (in hundredths) of words in repeated windows.
 FEWEST_WORDS, MOST_REPEAT = 20, 30
-#: Measures held against thresholds, and how far beyond its quartiles a group's threshold is at least.
-MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.50, "repeat_share": 0.30, "word_length": 2.0}
+#: Measures held against thresholds beyond a group's quartiles, and how far beyond them a threshold is at least.
+FENCED = {"symbol_share": 0.05, "word_length": 2.0}
+#: Measures that are 0 for most texts, whose quartiles say nothing: held against the group's quantile TOP among texts
+#: that pass the base rules, and the least threshold.
+RARE, TOP = {"dup_line_share": 0.20, "repeat_share": 0.10}, 0.99
+MEASURES = (*FENCED, *RARE)
 #: Spreads between the quartiles that a measure may lie beyond them; smallest group with thresholds of its own.
 SPREADS, LEAST_ROWS = 4.0, 200
 #: Error of the sketches' ranks: one part in so many.
@@ -47,15 +51,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return df.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0)).cast("long")).drop("windows", "placed", "again")
 
 
+def failed() -> Column:
+    """Whether a row of measured() fails the base rules."""
+    return (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
+
+
 def thresholds(counts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """lang, source, level (0: both, 1: a language, 3: all), n and a quartile array for each measure. Sketches are
+    """lang, source, level (0: both, 1: a language, 3: all), n and for each measure an array: the quartiles of a fenced
+    one, the quantile TOP of a rare one (of texts that pass the base rules, as those that fail lie far above). Sketches are
     made within map tasks and merged: a hot group costs its reducer one sketch a task."""
     shares = counts.where("n_words > 0").select(
         "lang", "source",
         (F.col("n_symbols") / F.col("word_chars")).alias("symbol_share"), (F.col("n_dup_lines") / F.col("n_lines")).alias("dup_line_share"),
-        (F.col("n_repeat_words") / F.col("n_words")).alias("repeat_share"), (F.col("word_chars") / F.col("n_words")).alias("word_length"),
+        (F.col("n_repeat_words") / F.col("n_words")).alias("repeat_share"), (F.col("word_chars") / F.col("n_words")).alias("word_length"), failed().alias("failed"),
     )
-    sketches = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in MEASURES]
+    sketches = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in FENCED]
+    sketches += [F.percentile_approx(F.when(~F.col("failed"), F.col(m)), [TOP], ACCURACY).alias(m) for m in RARE]
     return shares.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketches).where((F.col("n") >= least_rows) | (F.col("level") == 3))
 
 
@@ -63,9 +74,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """id_col, the counts of measured(), base_failed and kept of each row.
 
     A text fails its base rules with fewer than 20 words, or where over 30 % of its words lie in repeated windows.
-    One that passes is kept if each measure lies within `spreads` interquartile ranges (or the measure's least
-    margin, if that is more) beyond the quartiles of its language and source; groups with fewer than least_rows
-    texts use their language's quartiles, those of small languages all texts'. Null languages and sources are groups
+    One that passes is kept if its symbol share and word length lie within `spreads` interquartile ranges (or the
+    measure's least margin, if that is more) beyond the quartiles of its language and source, and its shares of
+    duplicate lines and of words in repeated windows are no higher than the 0.99 quantiles of the base-passing texts
+    there (or the least threshold, if that is more). Groups with fewer than least_rows texts use their language's
+    quantiles, those of small languages all texts'. Null languages and sources are groups
     like others. Repeated rows count each; empty tables give no rows; other columns are not read. Counts are made
     once and written to the checkpoint folder, then read for the sketches and for the filter."""
     counts = persisted(measured(docs, id_col, text_col, lang_col, source_col))
@@ -79,11 +92,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     limit = F.coalesce("own", "by_lang", "all")
     shares = {"symbol_share": F.col("n_symbols") / F.nullif("word_chars", F.lit(0)), "dup_line_share": F.col("n_dup_lines") / F.nullif("n_lines", F.lit(0)), "repeat_share": F.col("n_repeat_words") / F.nullif("n_words", F.lit(0)), "word_length": F.col("word_chars") / F.nullif("n_words", F.lit(0))}
     fits = F.lit(True)
-    for m, margin in MEASURES.items():
+    for m, least in RARE.items():
+        fits = fits & (shares[m] <= F.greatest(limit[m][0], F.lit(least)))
+    for m, margin in FENCED.items():
         low, high = limit[m][0], limit[m][1]
         room = F.greatest((high - low) * float(spreads), F.lit(margin))
         fits = fits & (shares[m] <= high + room)
         if m == "word_length":
             fits = fits & (shares[m] >= low - room)
-    failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(False))).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), (~failed() & F.coalesce(fits, F.lit(False))).alias("kept"))

@@ -38,6 +38,20 @@ def test_thresholds_follow_the_group(documents):
     assert sum(got[i].kept for i in range(300)) >= 299 and sum(got[1000 + i].kept for i in range(300)) >= 299
 
 
+def test_rare_measures_act_below_the_base_rule(documents):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    clean = lambda: " ".join(word() for _ in range(60))
+    again = lambda: (lambda w: " ".join(w + [word() for _ in range(64)] + w))([word() for _ in range(8)])  # noqa: E731  # 16 of 80 words
+    doubled = lambda: "\n".join((x := [" ".join(word() for _ in range(5)) for _ in range(6)]) + x[3::-1])  # noqa: E731  # 4 of 10 lines
+    rows = [(i, clean(), "clean") for i in range(400)] + [(1000, again(), "clean"), (1001, doubled(), "clean")]
+    rows += [(2000 + i, again() if i % 20 == 0 else doubled() if i % 20 == 1 else clean(), "list") for i in range(400)]
+    got = {x.doc_id: x for x in Q.judged(documents(rows)).collect()}
+    assert got[1000].n_repeat_words == 16 and got[1001].n_dup_lines == 4 and not any(x.base_failed for x in got.values())
+    assert not got[1000].kept and not got[1001].kept
+    assert all(x.kept for i, x in got.items() if i not in (1000, 1001))
+
+
 def test_awkward_and_empty_tables(documents, awkward):
     got = Q.judged(documents(awkward)).collect()
     assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in awkward) and all(x.base_failed for x in got if x.n_words < 20)
