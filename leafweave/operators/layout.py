@@ -172,38 +172,62 @@ def without_references(text: Column, numbers: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.aggregate(found, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<=[\p{L}.,;:!?\x{201D}\x{2019}\")])"), n, F.lit(r"(?=\s*\p{L})")), F.lit("")))).otherwise(text)
 
 
-#: Joins of words that recognition runs together, and words that it splits.
-KNOWN_JOINS = {"ofthe": "of the", "inthe": "in the", "tothe": "to the", "onthe": "on the", "andthe": "and the", "forthe": "for the", "fromthe": "from the", "bythe": "by the", "withthe": "with the", "thatthe": "that the", "isthe": "is the", "asthe": "as the"}
+#: Words that recognition splits after their first letter, and words that it splits elsewhere.
+SPLIT_WORDS = ("o f", "i n", "i t", "o n", "i s", "a t", "a s", "b e", "b y", "t o", "o r", "a n")
+KNOWN_JOINS = {
+    "micro scopic": "microscopic", "strat egy": "strategy", "philos ophy": "philosophy", "philos opher": "philosopher", "knowl edge": "knowledge",
+    "al chemy": "alchemy", "al chemical": "alchemical", "al chemist": "alchemist", "ex periment": "experiment", "ex perimental": "experimental",
+    "in terpret": "interpret", "inter pretation": "interpretation", "mech anical": "mechanical", "mech anism": "mechanism", "math ematical": "mathematical",
+    "math ematics": "mathematics", "dem onstration": "demonstration", "cor respondence": "correspondence", "phenom ena": "phenomena", "grav itation": "gravitation",
+}
+#: Where a run of word characters can begin: at a word's start, or where the match before has ended. With possessive
+#: runs, this finds what `(\w{n,})` finds without trying each place of a long word.
+RUN = r"(?:\G|(?<!\w))"
 
 
 def ocr_cleaned(text: Column, aggressive: bool = False, joins: dict[str, str] | None = None) -> Column:
-    """A text with known joins taken apart; aggressive: also without stray symbols at the ends of words, and without
-    paragraphs that are garbage."""
-    for joined_word, apart in (KNOWN_JOINS if joins is None else joins).items():
-        text = F.regexp_replace(text, rf"(?i)\b{joined_word}\b", apart)
+    """A text with split words put together: between two words of two characters or more, or one of three and one of any
+    length, each word's three rules in one pass each; and known joins in any case, in lower case. aggressive: also
+    without stray symbols, symbols at either end of words, and paragraphs that are garbage."""
+    whole = text
+    for split in SPLIT_WORDS:
+        for before, after in ((RUN + r"(\w{2,}+)", r"(\w{2,})"), (RUN + r"(\w{3,}+)", r"(\w)"), (r"(\w)", r"(\w{3,})")):
+            whole = F.regexp_replace(whole, f"(?U){before} {split} {after}", f"$1 {split.replace(' ', '')} $2")
+    text = F.when(text.rlike(f" (?:{'|'.join(SPLIT_WORDS)}) "), whole).otherwise(text)
+    for split, word in (KNOWN_JOINS if joins is None else joins).items():
+        text = F.regexp_replace(text, f"(?iu){split}", word)
     if not aggressive:
         return text
-    text = F.regexp_replace(text, r"(?<=\s)[^\p{L}\p{N}\s]{1,2}(?=\s)", "")
-    text = F.regexp_replace(text, r"(?<=\s)[^\p{L}\p{N}\s\x{201C}\"'(]+(?=\p{L}{2})", "")
-    text = F.regexp_replace(text, r"(?<=\p{L}{2})[^\p{L}\p{N}\s]+(?=\s)", "")
-    text = F.regexp_replace(text, r"[ \t]{2,}", " ")
-    return F.array_join(F.filter(F.split(text, "\n\n"), lambda p: ~garbage(p)), "\n\n")
+    text = F.regexp_replace(text, r"(?Um)(?:^|\s)[^\w\s]{1,4}(?=\s|$)", " ")
+    text = F.regexp_replace(text, r"(?Um)(?:^|\s)[^\w\s]{1,3}(\w{3,})", " $1")
+    text = F.regexp_replace(text, rf"(?U){RUN}(\w{{2,}}+)[^\w\s]{{1,3}}(?=\s|$)", "$1")
+    text = F.regexp_replace(text, r"'11(?=[ \n])", "'ll")
+    text = F.regexp_replace(text, " {2,}", " ")
+    pars = F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", ""))
+    return F.array_join(F.filter(pars, lambda p: (p != "") & ~garbage(p)), "\n\n")
 
 
 def garbage(paragraph: Column) -> Column:
-    """Three characters or fewer without a letter or digit, or under a hundred of which fewer than half are letters, digits or blanks."""
-    plain = F.length(F.regexp_replace(paragraph, r"[^\p{L}\p{N}\s]", ""))
-    return ((F.length(paragraph) <= 3) & ~paragraph.rlike(r"[\p{L}\p{N}]")) | ((F.length(paragraph) < 100) & (plain < F.floor(F.length(paragraph) / 2)))
+    """Three characters or fewer without a letter or digit, or under a hundred of which fewer than half are letters,
+    digits or blanks. A letter with its marks is one character."""
+    n, plain = F.regexp_count(paragraph, F.lit(r"\X")), F.regexp_count(paragraph, F.lit(r"(?U)(?=[\p{IsAlphabetic}\p{N}\s])\X"))
+    return ((n <= 3) & (plain == F.regexp_count(paragraph, F.lit(r"(?U)\s")))) | ((n < 100) & (plain < F.floor(n / 2)))
 
 
 def logical_pages(lines: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Lines to logical pages: book, page, col, text, footnotes, continuation, page_idx."""
+    """Lines to logical pages: book, page, col, text, footnotes, continuation, page_idx. Texts are cleaned of what
+    recognition splits, if their page has more lines than one; aggressively in books whose profile(book, book_type,
+    prefer_content, global_font) says that they are scanned."""
     from leafweave.operators import footnotes
 
     steps = (superscripts_joined, same_height_joined, columns_split, page_numbers_stripped)
     rows = reduce(lambda df, f: f(df), steps, lines)
     body, notes = footnotes.separated(rows, profile)
     texts = page_texts(paragraphs(body))
+    texts = texts.join(rows.groupBy(*COLUMN).agg((F.count("*") > 1).alias("_several")), list(COLUMN))
+    texts = texts.join(profile.select("book", (F.col("book_type") == "scannedOCR").alias("_scan")), "book", "left") if profile is not None else texts.withColumn("_scan", F.lit(False))
+    cleaned = F.when(F.col("_several") & F.col("_scan"), ocr_cleaned(F.col("text"), True)).when(F.col("_several"), ocr_cleaned(F.col("text"))).otherwise(F.col("text"))
+    texts = texts.select(*COLUMN, cleaned.alias("text"))
     every = rows.select(*COLUMN).distinct()
     out = every.join(texts, list(COLUMN), "left").join(notes, list(COLUMN), "left")
     out = out.select(*COLUMN, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("footnotes", F.array().cast("array<struct<number: int, text: string>>")).alias("footnotes"), "continuation")

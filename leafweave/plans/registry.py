@@ -275,8 +275,7 @@ def triage_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ocr_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    c = chapters_of(spark, d).withColumn("text", F.replace(F.col("text"), F.lit(" of the "), F.lit(" OfThe ")))
-    return c.select("chapter", F.md5(layout.ocr_cleaned(F.col("text")).cast("binary")).alias("text"))
+    return chapters_of(spark, d).select("chapter", F.md5(layout.ocr_cleaned(F.col("text")).cast("binary")).alias("text"))
 
 
 @query

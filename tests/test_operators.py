@@ -1,6 +1,8 @@
 """Operators on small tables whose answers are worked out by hand."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +139,45 @@ def test_html_links(spark):
     assert got[3] == "<p>Only text.</p>"
 
 
+def ocr_brute(t, aggressive=False):
+    for split in ("o f", "i n", "i t", "o n", "i s", "a t", "a s", "b e", "b y", "t o", "o r", "a n"):
+        for a, b in ((r"(\w{2,})", r"(\w{2,})"), (r"(\w{3,})", r"(\w)"), (r"(\w)", r"(\w{3,})")):
+            t = re.sub(f"{a} {split} {b}", rf"\1 {split.replace(' ', '')} \2", t)
+    for split in "micro scopic|strat egy|philos ophy|philos opher|knowl edge|al chemy|al chemical|al chemist|ex periment|ex perimental|in terpret|inter pretation|mech anical|mech anism|math ematical|math ematics|dem onstration|cor respondence|phenom ena|grav itation".split("|"):
+        t = re.sub(split, split.replace(" ", ""), t, flags=re.I)
+    if not aggressive:
+        return t
+    t = re.sub(r"(?:^|\s)[^\w\s]{1,4}(?=\s|$)", " ", t, flags=re.M)
+    t = re.sub(r"(?:^|\s)[^\w\s]{1,3}(\w{3,})", r" \1", t, flags=re.M)
+    t = re.sub(r"(\w{2,})[^\w\s]{1,3}(?=\s|$)", r"\1", t)
+    t = re.sub(" {2,}", " ", t.replace("'11 ", "'ll ").replace("'11\n", "'ll\n"))
+    out = []
+    for p in (x.strip() for x in t.split("\n\n")):
+        plain = sum(c.isalnum() or c.isspace() for c in p)
+        if p and not (len(p) <= 3 and not any(c.isalnum() for c in p)) and not (len(p) < 100 and plain < len(p) // 2):
+            out.append(p)
+    return "\n\n".join(out)
+
+
+def test_ocr_cleaning(spark):
+    r = random.Random(5)
+    parts = ["o f", "i n", "t o", "a", "ab", "abc", "o", "f", "été", "Philos Ophy", "al chemist", "ofthe", "(^", "&", "<$past", "cenJ*", "it'11", "x.", "word,", "====", "~~~~~", "\n", "\n\n"]
+    texts = ["composed o f several", "direction o f a Com", "a o f b", "ab o f cd o f ef", "abc o f def o f ghi", "x" * 3000 + " o f abc o f d", "ofthe", "%&\n\nKept text\n\n$%^&*ab", "", *("".join(x + r.choice([" ", " ", " ", "  "]) for x in r.choices(parts, k=r.randrange(1, 25))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for aggressive in (False, True):
+        got = {x.t: x.c for x in df.select("t", layout.ocr_cleaned(F.col("t"), aggressive).alias("c")).collect()}
+        assert got == {t: ocr_brute(t, aggressive) for t in texts}
+
+
+def test_logical_pages_are_cleaned(spark):
+    rows = [("The world is composed o f several parts, as", 72, 72, 460, 10), ("the Philos ophy o f nature says & it'11 be so.", 86, 72, 460, 10)]
+    page, single = lines(spark, rows), lines(spark, [("Only one line o f text", 72, 72, 200, 10)]).withColumn("page", F.lit(1))
+    both = page.unionByName(single)
+    assert [x.text for x in layout.logical_pages(both).orderBy("page").collect()] == ["The world is composed of several parts, as the philosophy of nature says & it'11 be so.", "Only one line o f text"]
+    scan = spark.createDataFrame([("b", "scannedOCR", False, 10.0)], "book string, book_type string, prefer_content boolean, global_font double")
+    assert [x.text for x in layout.logical_pages(page, scan).collect()] == ["The world is composed of several parts as the philosophy of nature says it'll be so"]
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__
 
