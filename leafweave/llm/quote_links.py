@@ -14,33 +14,40 @@ INTRODUCTION = r"(?i)^\s*(on\b.{0,200}\bwrote|.{0,100}\bwrote|-+ ?original messa
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages (conv, turn, role, text), with own (the text without quotes and the lines that introduce them), passages
-    (an array of (level, hash): runs of lines of one level, without their marks, white space collapsed, lower-cased) and
-    units (hashes of what others may quote: the whole own text, and its runs of lines between blank or quoted ones)."""
+    """messages (conv, turn, role, text) as conv, turn, role, own (the text without quotes and the lines that introduce
+    them), passages (an array of (level, hash, parts): runs of lines of one level, without their marks, white space
+    collapsed, lower-cased; parts are the hashes of the lines of a run of several) and units (an array of (hash, whole):
+    what others may quote, the own text and its runs of lines between blank or quoted ones, whole, and their lines)."""
     lines = r"transform(split(t, '\r?\n'), x -> struct(length(regexp_replace(regexp_extract(x, marks, 1), '[^>]', '')) AS level, regexp_replace(x, marks, '') AS line))"
     df = messages.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("marks", F.lit(MARKS)).withColumn("lines", F.expr(lines))
     df = df.withColumn("lines", F.expr("filter(lines, (x, i) -> NOT (x.level = 0 AND regexp_like(x.line, intro) AND coalesce(get(lines, i + 1).level, 0) > 0))".replace("intro", "'" + INTRODUCTION.replace("\\", "\\\\") + "'")))
+    df = df.withColumn("lines", F.expr(r"transform(lines, x -> struct(x.level AS level, x.line AS line, lower(trim(regexp_replace(x.line, '\\s+', ' '))) AS body))"))
     # Runs: a line begins one if its level isn't the one before's, or it or the one before is blank.
     starts = "filter(sequence(0, size(lines) - 1), i -> i = 0 OR lines[i].level <> lines[i - 1].level OR trim(lines[i].line) = '' OR trim(lines[i - 1].line) = '')"
     df = df.withColumn("starts", F.expr(f"CASE WHEN size(lines) > 0 THEN {starts} ELSE cast(array() AS array<int>) END"))
-    norm = lambda s: f"lower(trim(regexp_replace({s}, '\\\\s+', ' ')))"
-    run = "array_join(transform(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), x -> x.line), ' ')"
-    df = df.withColumn("runs", F.expr(f"filter(transform(starts, (s, k) -> struct(lines[s].level AS level, {norm(run)} AS body)), r -> r.body <> '')"))
+    bodies = "filter(transform(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), x -> x.body), b -> b <> '')"
+    df = df.withColumn("runs", F.expr(f"filter(transform(starts, (s, k) -> struct(lines[s].level AS level, {bodies} AS bodies)), r -> size(r.bodies) > 0)"))
+    df = df.withColumn("runs", F.expr("transform(runs, r -> struct(r.level AS level, r.bodies AS bodies, array_join(r.bodies, ' ') AS body))"))
+    df = df.withColumn("quoted", F.expr("filter(runs, r -> r.level > 0)")).withColumn("said", F.expr("filter(runs, r -> r.level = 0)"))
     own = F.expr("trim(array_join(transform(filter(lines, x -> x.level = 0), x -> x.line), '\n'))")
     df = df.withColumn("own", F.regexp_replace(F.regexp_replace(own, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n"))
     # A quote may hold several runs of its level: the whole of them counts too.
-    whole = "transform(array_distinct(transform(filter(runs, r -> r.level > 0), r -> r.level)), v -> struct(v AS level, array_join(transform(filter(runs, r -> r.level = v), r -> r.body), ' ') AS body))"
-    df = df.withColumn("quoted", F.expr(f"array_distinct(concat(filter(runs, r -> r.level > 0), {whole}))"))
-    df = df.withColumn("passages", F.expr("transform(quoted, r -> struct(r.level AS level, md5(r.body) AS hash))"))
-    units = f"array_distinct(transform(filter(array_append(transform(filter(runs, r -> r.level = 0), r -> r.body), {norm('own')}), b -> b <> ''), b -> md5(b)))"
-    return df.withColumn("units", F.expr(units)).select("conv", "turn", "role", "text", "own", "passages", "units")
+    several = "filter(array_distinct(transform(quoted, r -> r.level)), v -> size(filter(quoted, r -> r.level = v)) > 1)"
+    whole = f"transform({several}, v -> struct(v AS level, unhex(md5(array_join(transform(filter(quoted, r -> r.level = v), r -> r.body), ' '))) AS hash, cast(array() AS array<binary>) AS parts))"
+    parts = "CASE WHEN size(r.bodies) > 1 THEN array_distinct(transform(r.bodies, b -> unhex(md5(b)))) ELSE cast(array() AS array<binary>) END"
+    df = df.withColumn("passages", F.expr(f"array_distinct(concat(transform(quoted, r -> struct(r.level AS level, unhex(md5(r.body)) AS hash, {parts} AS parts)), {whole}))"))
+    texts = "concat(transform(said, r -> r.body), filter(array(array_join(transform(said, r -> r.body), ' ')), b -> b <> ''))"
+    single = "flatten(transform(filter(said, r -> size(r.bodies) > 1), r -> r.bodies))"
+    units = f"array_distinct(concat(transform({texts}, b -> struct(unhex(md5(b)) AS hash, true AS whole)), transform({single}, b -> struct(unhex(md5(b)) AS hash, false AS whole))))"
+    return df.withColumn("units", F.expr(units)).select("conv", "turn", "role", "own", "passages", "units")
 
 
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_col, turn, role, content, quotes, parent_turn, linked, thread_turn and depth of each message.
 
     content is the text without quotes. A quoted passage is joined, by the hash of its normalised text, to the first
-    message of its conversation that has it as a text of its own, if that came before. The parent is the latest of these
+    message of its conversation that has it as a text or run of its own, if that came before; a passage without such a
+    message to the latest of those that were the first to have one of its lines. The parent is the latest of these
     of the shallowest level that has any (linked is true); a message without such a quote answers the turn before its
     own, if there is one, else it begins a thread. thread_turn is the first turn of the message's thread and depth its
     distance from it, so that by (conversation, thread_turn, turn) every message follows what it answers. Threads are
@@ -52,12 +59,14 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     df = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     df = persisted(parsed(df).withColumn("row", F.monotonically_increasing_id()))
     known = df.where("conv IS NOT NULL AND turn IS NOT NULL")
-    first = known.select("conv", "turn", F.explode("units").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("source"))
-    asks = known.select("row", "conv", "turn", F.explode("passages").alias("p")).select("row", "conv", "turn", "p.level", "p.hash")
-    found = asks.join(first, ["conv", "hash"]).where("source < turn").groupBy("row").agg(F.max(F.struct(-F.col("level"), "source")).alias("best"))
+    first = known.select("conv", "turn", F.explode("units").alias("u")).groupBy("conv", F.col("u.hash").alias("hash")).agg(F.min(F.when(F.col("u.whole"), F.col("turn"))).alias("whole_at"), F.min("turn").alias("line_at"))
+    asks = known.select("row", "conv", "turn", F.posexplode("passages").alias("k", "p")).select("row", "conv", "turn", "k", "p.level", F.explode(F.expr("concat(array(struct(p.hash AS hash, false AS part)), transform(p.parts, h -> struct(h AS hash, true AS part)))")).alias("a")).select("row", "conv", "turn", "k", "level", "a.hash", "a.part")
+    found = asks.join(first, ["conv", "hash"]).where("line_at < turn").groupBy("row", "k", "level").agg(F.coalesce(F.max(F.expr("CASE WHEN NOT part AND whole_at < turn THEN whole_at END")), F.max("line_at")).alias("source"))
+    found = found.groupBy("row").agg(F.max(F.struct(-F.col("level"), "source")).alias("best"))
     turns = known.select("conv", "turn").distinct()
     before = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    every = df.join(found.select("row", F.col("best.source").alias("source")), "row", "left").join(before, ["conv", "turn"], "left")
+    told = df.select("conv", "turn", "role", "own", "row", F.expr("size(array_distinct(transform(passages, p -> struct(p.level, p.hash))))").cast("long").alias("quotes"))
+    every = told.join(found.select("row", F.col("best.source").alias("source")), "row", "left").join(before, ["conv", "turn"], "left")
     every = persisted(every.withColumn("parent", F.coalesce("source", "previous")))
     # Of repeated turns the least parent stands for the turn, so that a turn has one place in its thread.
     at = persisted(every.where("conv IS NOT NULL AND turn IS NOT NULL").groupBy("conv", "turn").agg(F.min("parent").alias("up")).select("conv", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
@@ -68,4 +77,4 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         if not after.where("moved").head(1):
             break
     out = every.join(at.select("conv", "turn", F.col("up").alias("thread_turn"), "depth"), ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias("content"), F.size("passages").cast("long").alias("quotes"), F.col("parent").alias("parent_turn"), F.col("source").isNotNull().alias("linked"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias("content"), "quotes", F.col("parent").alias("parent_turn"), F.col("source").isNotNull().alias("linked"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))

@@ -39,3 +39,20 @@ def test_long_chain_and_empty(spark):
     got = linked(df).collect()
     assert sorted((r.turn, r.depth, r.thread_turn) for r in got) == [(i, i, 0) for i in range(300)]
     assert linked(df.where("turn < 0")).collect() == []
+
+
+def test_quotes_of_lines(spark):
+    long = "First line here.\nSecond line here.\nThird line here.\nFourth line here."
+    rows = [
+        (0, "How do I bake bread?\nI have flour."), (1, long), (2, "Third line here."), (3, "Something else."),
+        (4, "> I have flour.\nHow much?"),
+        (5, "> second  LINE here.\n> Third line here.\nTwo lines of it."),
+        (6, "> Third line here.\nA whole text goes first."),
+        (7, "> Something else.\n> never said\nOne line of two."),
+        (8, ">> First line here.\n> never said\nOnly the deeper one."),
+        (9, "> First line here. Second line here. Third line here. Fourth line here.\nSet anew."),
+    ]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.linked, r.quotes) for r in linked(df).collect()}
+    assert got[4] == (0, True, 1) and got[5] == (1, True, 1) and got[6] == (2, True, 1)
+    assert got[7] == (3, True, 1) and got[8] == (1, True, 2) and got[9] == (1, True, 1)
