@@ -130,6 +130,12 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     return structure.page_chunks(p).select("book", "chunk", "title", "first_page", "last_page", F.length("text").alias("chars"))
 
 
+@query
+def page_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As page_chunks, over whole texts."""
+    return structure.page_chunk_totals(chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), "text"))
+
+
 @query
 def chapter_rollup(spark: SparkSession, d: str) -> DataFrame:
     t = annotations.chapter_of(turns_of(spark, d))

@@ -178,6 +178,25 @@ def test_logical_pages_are_cleaned(spark):
     assert [x.text for x in layout.logical_pages(page, scan).collect()] == ["The world is composed of several parts as the philosophy of nature says it'll be so"]
 
 
+def test_whole_page_chunks(spark, tmp_path):
+    from hashlib import md5
+
+    from leafweave.plans import registry
+
+    texts = [(i, f"text {i} " * (i % 7) * 9, f"s{i % 2 if i < 46 else 2}") for i in range(49)]
+    spark.createDataFrame([(i, t or None, s, "en") for i, t, s in texts], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x.book, x.chunk): (x.title, x.first_page, x.last_page, x.chars, x.digest) for x in registry.queries()["page_chunks_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for book in ("s0", "s1", "s2"):
+        pages = [t for _, t, s in texts if s == book]
+        size = -(-len(pages) // max(1, len(pages) // 10))
+        for k in range(0, len(pages), size):
+            part = pages[k : k + size]
+            title = book if len(pages) <= size else f"Page {k + 1}" if len(pages) <= 20 else f"Pages {k + 1}-{k + len(part)}"
+            want[book, k // size] = (title, k + 1, k + len(part), len("\n".join(part)), md5("\n".join(md5(t.encode()).hexdigest() for t in part).encode()).hexdigest())
+    assert got == want
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__
 
