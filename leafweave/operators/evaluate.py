@@ -168,3 +168,15 @@ def report(scored: DataFrame) -> DataFrame:
     """book, dimension, line: the console report."""
     mark = F.when(F.col("score") >= 0.80, "PASS").otherwise("FAIL")
     return scored.select("book", "dimension", F.format_string("  %s %s %6.2f%% (weight %.2f)", mark, F.rpad("dimension", 24, " "), F.col("score") * 100, F.col("weight")).alias("line"))
+
+
+def dice_pairs(texts: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """one, two, dice: functions.text.dice of every two texts (one < two), found through shared letter pairs; 0 for those
+    that share none, null with a null text."""
+    t = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("t")).withColumn("n", F.greatest(F.length("t") - 1, F.lit(1)))
+    pairs = F.when(F.length("t") < 2, F.array("t")).otherwise(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.substring(F.col("t"), i, F.lit(2))))
+    g = t.select("id", F.explode(pairs).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    common = g.alias("a").join(g.alias("b"), F.expr("a.g = b.g AND a.id < b.id")).groupBy(F.col("a.id").alias("one"), F.col("b.id").alias("two")).agg(F.sum(F.least("a.c", "b.c")).alias("common"))
+    both = t.alias("a").join(t.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.expr("a.t = b.t").alias("same"), F.expr("a.n + b.n").alias("n"))
+    dice = F.when(F.col("same"), F.lit(1.0)).when(F.col("same").isNotNull(), 2.0 * F.coalesce("common", F.lit(0)) / F.col("n"))
+    return both.join(common, ["one", "two"], "left").select("one", "two", dice.alias("dice"))

@@ -231,6 +231,12 @@ def dice_similarity(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), F.round(T.dice("a.text", "b.text"), 6).alias("dice"))
 
 
+@query
+def dice_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As dice_similarity, of every two whole texts."""
+    return evaluate.dice_pairs(tables.read(spark, d, "benchmark")).withColumn("dice", F.round("dice", 6))
+
+
 @query
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
     p = tables.read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))

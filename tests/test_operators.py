@@ -197,6 +197,27 @@ def test_whole_page_chunks(spark, tmp_path):
     assert got == want
 
 
+def test_dice_of_all_whole_texts(spark, tmp_path):
+    from collections import Counter
+
+    from leafweave.plans import registry
+
+    r = random.Random(7)
+    texts = {i: "".join(r.choices("abC é", k=r.choice([0, 1, 1, 2, 5, 60, 200]))) for i in range(30)} | {40: "x" * 50 + "tail", 90: "X" * 50 + "TAIL", 91: "x" * 50 + "end", 92: None}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def brute(a, b):
+        if a is None or b is None:
+            return None
+        a, b = a.lower(), b.lower()
+        x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) if len(t) > 1 else Counter([t]) for t in (a, b))
+        return 1.0 if a == b else 2 * (x & y).total() / (x.total() + y.total())
+
+    got = {(x.one, x.two): x.dice for x in registry.queries()["dice_similarity_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): pytest.approx(brute(texts[i], texts[j]), abs=1e-6) if texts[i] is not None and texts[j] is not None else None for i in texts for j in texts if i < j}
+    assert got[40, 90] == 1.0 and got[40, 91] < 1.0
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__
 
