@@ -224,11 +224,9 @@ def logical_pages(lines: DataFrame, profile: DataFrame | None = None) -> DataFra
     rows = reduce(lambda df, f: f(df), steps, lines)
     body, notes = footnotes.separated(rows, profile)
     texts = page_texts(paragraphs(body))
-    texts = texts.join(rows.groupBy(*COLUMN).agg((F.count("*") > 1).alias("_several")), list(COLUMN))
-    texts = texts.join(profile.select("book", (F.col("book_type") == "scannedOCR").alias("_scan")), "book", "left") if profile is not None else texts.withColumn("_scan", F.lit(False))
+    every = rows.groupBy(*COLUMN).agg((F.count("*") > 1).alias("_several"))
+    every = every.join(profile.select("book", (F.col("book_type") == "scannedOCR").alias("_scan")), "book", "left") if profile is not None else every.withColumn("_scan", F.lit(False))
     cleaned = F.when(F.col("_several") & F.col("_scan"), ocr_cleaned(F.col("text"), True)).when(F.col("_several"), ocr_cleaned(F.col("text"))).otherwise(F.col("text"))
-    texts = texts.select(*COLUMN, cleaned.alias("text"))
-    every = rows.select(*COLUMN).distinct()
     out = every.join(texts, list(COLUMN), "left").join(notes, list(COLUMN), "left")
-    out = out.select(*COLUMN, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("footnotes", F.array().cast("array<struct<number: int, text: string>>")).alias("footnotes"), "continuation")
+    out = out.select(*COLUMN, F.coalesce(cleaned, F.lit("")).alias("text"), F.coalesce("footnotes", F.array().cast("array<struct<number: int, text: string>>")).alias("footnotes"), "continuation")
     return numbered(with_continuations(out))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafweave.functions import text as T
 from leafweave.operators import anomalies, annotations, chapters, evaluate, footnotes, headers, html, layout, structure
 from leafweave.plans import sql
+from leafweave.plans.views import all_lines
 from leafweave.plans.views import chapters as chapters_of
 from leafweave.plans.views import lines as lines_of
 from leafweave.plans.views import turns as turns_of
@@ -22,6 +23,12 @@ def query(f):
     return f
 
 
+def query_of_lines(f):
+    """f over the texts that its SQL reads, and as f_whole over all."""
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, all_lines)
+    return query(f)
+
+
 @query
 def word_boundaries(spark: SparkSession, d: str) -> DataFrame:
     c = chapters_of(spark, d).select("book", "chapter", T.token_count("text").alias("word_count"))
@@ -174,46 +181,46 @@ def header_clean(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.running_header_clean(a, c).select("book", F.round("score", 6).alias("score"))
 
 
-@query
-def font_mode_median(spark: SparkSession, d: str) -> DataFrame:
-    df = lines_of(spark, d).withColumn("bucket", F.round(F.col("font_size") * 10).cast("int"))
+@query_of_lines
+def font_mode_median(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    df = view(spark, d).withColumn("bucket", F.round(F.col("font_size") * 10).cast("int"))
     mode = df.groupBy("book", "page", "bucket").agg(F.count("*").alias("c")).groupBy("book", "page").agg(F.max_by("bucket", F.struct("c", "bucket")).alias("mode"))
     return mode.join(df.groupBy("book", "page").agg(F.median("width").alias("width"), F.var_pop("font_size").alias("variance")), ["book", "page"]).select("book", "page", "mode", F.round("width", 6).alias("width"), F.round("variance", 6).alias("variance"))
 
 
 @query
 def paragraphs_from_lines(spark: SparkSession, d: str) -> DataFrame:
-    out = layout.paragraphs(lines_of(spark, d).withColumn("col", F.lit(0)))
+    out = layout.paragraphs(all_lines(spark, d).withColumn("col", F.lit(0)))
     return out.select("book", "page", "par", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query
-def column_split(spark: SparkSession, d: str) -> DataFrame:
-    both = lines_of(spark, d, "wide").unionByName(lines_of(spark, d).withColumn("page", -F.col("page") - 1))
+@query_of_lines
+def column_split(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    both = view(spark, d, "wide").unionByName(view(spark, d).withColumn("page", -F.col("page") - 1))
     return layout.columns_split(both).groupBy("page", "col").agg(F.count("*").alias("lines"), F.min("line_no").alias("first"))
 
 
-@query
-def page_numbers_stripped(spark: SparkSession, d: str) -> DataFrame:
-    df = lines_of(spark, d).withColumn("text", F.when((F.col("line_no") < 2) | (F.col("line_no") % 7 > 4), F.col("line_no").cast("string")).otherwise(F.col("text"))).withColumn("col", F.lit(0))
+@query_of_lines
+def page_numbers_stripped(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    df = view(spark, d).withColumn("text", F.when((F.col("line_no") < 2) | (F.col("line_no") % 7 > 4), F.col("line_no").cast("string")).otherwise(F.col("text"))).withColumn("col", F.lit(0))
     return layout.page_numbers_stripped(df).groupBy("page").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("lines"))
 
 
-@query
-def superscript_merge(spark: SparkSession, d: str) -> DataFrame:
-    out = layout.superscripts_joined(lines_of(spark, d, "marks"))
+@query_of_lines
+def superscript_merge(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    out = layout.superscripts_joined(view(spark, d, "marks"))
     return out.select("page", "line_no", F.md5(F.col("text").cast("binary")).alias("text"), F.round("max_x", 3).alias("max_x"))
 
 
-@query
-def footnotes_split(spark: SparkSession, d: str) -> DataFrame:
-    out = footnotes.starts(lines_of(spark, d).withColumn("col", F.lit(0)))
+@query_of_lines
+def footnotes_split(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    out = footnotes.starts(view(spark, d).withColumn("col", F.lit(0)))
     return out.where("i = 0").select("page", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), F.col("strategy").cast("long").alias("strategy"))
 
 
-@query
-def footnotes_parsed(spark: SparkSession, d: str) -> DataFrame:
-    _, notes = footnotes.separated(lines_of(spark, d).withColumn("col", F.lit(0)))
+@query_of_lines
+def footnotes_parsed(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
+    _, notes = footnotes.separated(view(spark, d).withColumn("col", F.lit(0)))
     return notes.select("page", F.posexplode("footnotes").alias("k", "f")).select("page", "k", F.col("f.number").alias("number"), F.md5(F.col("f.text").cast("binary")).alias("text"))
 
 
@@ -315,13 +322,13 @@ def images_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def logical_pages(spark: SparkSession, d: str) -> DataFrame:
-    out = layout.logical_pages(lines_of(spark, d))
+    out = layout.logical_pages(all_lines(spark, d))
     return out.select("book", "page", "col", "page_idx", F.length("text").alias("chars"), F.size("footnotes").alias("notes"))
 
 
 @query
 def rendered_html(spark: SparkSession, d: str) -> DataFrame:
-    c = lines_of(spark, d).groupBy("book", F.col("page").alias("chapter")).agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)"), "\n\n").alias("text"))
+    c = all_lines(spark, d).groupBy("book", F.col("page").alias("chapter")).agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)"), "\n\n").alias("text"))
     return html.rendered(c).select("book", "chapter", F.length("html").alias("chars"), F.contains("html", F.lit("transposed-endnotes")).alias("notes"))
 
 

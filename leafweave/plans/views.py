@@ -21,13 +21,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("book"), F.col("turn").cast("int").alias("page"), (F.col("role") == "user").alias("is_start"), F.substring("text", 1, 20).alias("title"), F.col("text"))
 
 
-def lines(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
-    """Texts of eight lines or more as pages of positioned lines, whose last three are numbered notes in a smaller font
-    after a gap. kind `wide`: landscape pages whose lines alternate between two columns; `marks`: every fourth line
-    has a number above its right half; `tight`, `plain_notes`, `low`: notes that only other rules find."""
-    d = tables.read(spark, sf_dir, "documents").select("source", "doc_id", T.lines("text").alias("ls")).where(F.size("ls") >= 8)
+def lines(spark: SparkSession, sf_dir: str, kind: str = "plain", least: int = 8) -> DataFrame:
+    """Texts of `least` lines or more as pages of positioned lines. Where there are eight or more, the last three are
+    numbered notes in a smaller font after a gap. kind `wide`: landscape pages whose lines alternate between two columns;
+    `marks`: every fourth line has a number above its right half; `tight`, `plain_notes`, `low`: notes that only other
+    rules find."""
+    d = tables.read(spark, sf_dir, "documents").select("source", "doc_id", T.lines("text").alias("ls")).where(F.size("ls") >= least)
     df = d.select(F.col("source").alias("book"), F.col("doc_id").cast("int").alias("page"), F.size("ls").alias("n"), F.posexplode("ls").alias("line_no", "text"))
-    note = F.col("line_no") >= F.col("n") - 3
+    note = (F.col("n") >= 8) & (F.col("line_no") >= F.col("n") - 3)
     first = F.col("line_no") == F.col("n") - 3
     numbered = note if kind not in ("plain_notes", "low") else note & ~first
     text = F.when(numbered, F.concat((F.col("line_no") - (F.col("n") - 4)).cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
@@ -46,3 +47,8 @@ def lines(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
         marks = df.where("line_no % 4 = 1").select("book", "page", (F.col("line_no") + 10000).alias("line_no"), (F.col("line_no") % 97 + 1).cast("string").alias("text"), (F.col("y") - 3).alias("y"), (F.col("max_x") - 4).alias("min_x"), F.col("max_x").alias("max_x"), F.lit(4.0).alias("width"), F.lit(5.0).alias("font_size"), "page_w", "page_h")
         df = df.select(names).unionByName(marks)
     return df.select(names)
+
+
+def all_lines(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
+    """lines() of every text that has any."""
+    return lines(spark, sf_dir, kind, 1)

@@ -218,6 +218,23 @@ def test_dice_of_all_whole_texts(spark, tmp_path):
     assert got[40, 90] == 1.0 and got[40, 91] < 1.0
 
 
+def test_line_queries_read_short_texts(spark, tmp_path):
+    from leafweave.plans import registry, views
+
+    texts = [(0, "one line alone"), (1, "12\nBody of two lines"), (2, "4\nFirst line of it\nSecond line of it\n5"), (3, "\n".join(f"Line {i} of seven" for i in range(7))), (4, "\n".join(f"Line {i} of nine" for i in range(9))), (5, " \n ")]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in texts], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    seen = views.all_lines(spark, str(tmp_path)).groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("font_size") < 10).alias("notes")).collect()
+    assert {x.page: (x.n, x.notes) for x in seen} == {0: (1, 0), 1: (2, 0), 2: (4, 0), 3: (7, 0), 4: (9, 3)}
+    for name in ("font_mode_median_whole", "paragraphs_from_lines", "superscript_merge_whole", "footnotes_split_whole", "logical_pages"):
+        assert {x.page for x in q(name)} == {0, 1, 2, 3, 4}, name
+    assert {x.chapter for x in q("rendered_html")} == {0, 1, 2, 3, 4}
+    assert {x.page for x in q("column_split_whole")} == {0, 1, 2, 3, 4, -1, -2, -3, -4, -5}
+    assert {x.page for x in q("footnotes_parsed_whole")} == {4} and {x.page for x in q("footnotes_split")} == {4}
+    stripped = {x.page: (x.first, x.last, x.lines) for x in q("page_numbers_stripped_whole")}
+    assert stripped[0] == (0, 0, 1) and stripped[1] == (0, 1, 2) and stripped[2] == (1, 3, 3) and stripped[3] == (2, 4, 3)
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__
 
