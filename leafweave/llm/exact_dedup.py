@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import persisted, splitmix
+from leafweave.llm.common import bounded_batches, broadcast_if_small, held, persisted, scratch, splitmix
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -74,6 +74,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
 
     def cook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        held("recipes", lambda: None)
         for b in batches:
             data, starts = _bytes(b.column(1))
             made, shas = [], []
@@ -88,7 +89,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
             row += len(b)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cook, f"row long, id {kind}, sha string, recipe binary")
+    return bounded_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))).mapInArrow(cook, f"row long, id {kind}, sha string, recipe binary")
 
 
 def ambiguous(docs: DataFrame, text_col: str = "text", bits: int = 63) -> DataFrame:
@@ -106,7 +107,7 @@ def ambiguous(docs: DataFrame, text_col: str = "text", bits: int = 63) -> DataFr
                     begin = end
             yield pa.RecordBatch.from_arrays([pa.array(seen.values(), pa.int64()), pa.array(seen, pa.binary())], names=["digest", "chunk"])
 
-    contents = docs.select(F.col(text_col).cast("string")).mapInArrow(cut, "digest long, chunk binary").groupBy("digest", "chunk").agg(F.lit(1).alias("one"))
+    contents = bounded_batches(docs.select(F.col(f"`{text_col}`").cast("string"))).mapInArrow(cut, "digest long, chunk binary").groupBy("digest", "chunk").agg(F.lit(1).alias("one"))
     return contents.select("digest", F.length("chunk").alias("size")).groupBy("digest", "size").agg(F.count("*").alias("contents")).where("contents > 1")
 
 
@@ -116,11 +117,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical; null counts as empty. Of a group the row with the largest id stays (a null id is
     the least; of rows with the same id and text one stays). Repeated rows count each. Empty tables give no rows;
     other columns are not read. bits: of the digests, fewer only for tests."""
-    made = persisted(recipes(docs, id_col, text_col, bits))
-    if (doubtful := persisted(ambiguous(docs, text_col, bits))).head(1):
-        made = persisted(_resolved(made, doubtful))
-    best = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "row")).alias("best")
-    groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size")).where("group_size > 1")
+    with scratch():
+        made = recipes(docs, id_col, text_col, bits)
+        if (doubtful := persisted(ambiguous(docs, text_col, bits))).head(1):
+            made = _resolved(persisted(made), doubtful)
+        made = persisted(made, lasting=True)
+        best = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "row")).alias("best")
+        groups = broadcast_if_small(made.groupBy("recipe").agg(best, F.count("*").alias("group_size")).where("group_size > 1"))
     return made.join(groups, "recipe", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),

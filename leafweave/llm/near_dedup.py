@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import blocks, persisted, splitmix
+from leafweave.llm.common import blocks, bounded_batches, broadcast_if_small, held, mark_of, persisted, scratch, splitmix
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 0.00005.
@@ -81,14 +81,15 @@ def _grouped(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return found, np.fromiter(map(len, found), np.int64, len(found))
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """id, words (a hash of the text's words in their order), n (its shingles), bands (a key for each band) and sketch (a
-    byte for each place of the signature) of each row."""
+def signed(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """texts (id, mark, t) as id, mark, words (a hash of the text's words in their order), n (its shingles), bands (a key
+    for each band) and sketch (a byte for each place of the signature)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = bands * rows
+        held("signatures", lambda: None)
         for b in batches:
-            for first, texts in blocks(b.column(1), 2 << 20):
+            for first, texts in blocks(b.column(2), 1 << 20):
                 found, n = _grouped(texts)
                 owner = np.repeat(np.arange(len(texts)), n)
                 every = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -106,10 +107,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
                 words = [hashlib.sha256(b" ".join(t.lower().encode().split())).digest() for t in texts]
                 some = n > 0
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]), pa.int32()), pa.array(key[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(words, pa.binary()), pa.array(n, pa.int64()), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "words", "n", "bands", "sketch"])
+                mine = b.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(words, pa.binary()), pa.array(n, pa.int64()), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "mark", "words", "n", "bands", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(sign, f"id {kind}, words binary, n long, bands array<long>, sketch binary")
+    kind = texts.schema["id"].dataType.simpleString()
+    return bounded_batches(texts).mapInArrow(sign, f"id {kind}, mark string, words binary, n long, bands array<long>, sketch binary")
 
 
 def _likely(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -134,153 +136,175 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the pairs whose texts' shingle multisets are so similar. texts: id, t of all texts that pairs name. Texts
-    move to the pairs, which are as many as texts for the most part; a hot text's pairs are split by adaptive execution."""
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = _overlap(x, y)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for b in batches:
-            keep = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
-                if a != last[0]:
-                    last = a, _bag(x.as_py())
-                other = _bag(y.as_py())
-                both = _overlap(last[1], other)
-                keep.append(both >= similarity * (len(last[1]) + len(other) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(verify, f"a {kind}, b {kind}")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id, label: the least id of each one's connected component, for all ids in links (a, b). Rounds of taking the least
-    label of the neighbours and then the label's own label, each written out, until none changes."""
-    both = persisted(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = persisted(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        least = labels.join(near, "id").select("id", F.least("label", "m").alias("new"), "label")
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        after = persisted(least.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("label"), F.col("label").alias("old")))
-        if not after.where("label <> old").head(1):
-            return after.select("id", "label")
-        labels = after.select("id", "label")
+def _fit(a: Column, b: Column, similarity: float) -> Column:
+    """Whether numbers of shingles allow the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """id, bag: sorted hashes of a text's (shingle, how many equal ones came before), so that the overlap of multisets is
+    """row, bag: sorted hashes of a text's (shingle, how many equal ones came before), so that the overlap of multisets is
     that of sets."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, some in blocks(b.column(1), 2 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array([_bag(t).tobytes() for t in some], pa.binary())], names=["id", "bag"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array([_bag(t).tobytes() for t in some], pa.binary())], names=["row", "bag"])
 
-    return texts.select("id", "t").mapInArrow(bag, f"id {texts.schema['id'].dataType.simpleString()}, bag binary")
+    return bounded_batches(texts.select("row", "t")).mapInArrow(bag, "row long, bag binary")
 
 
-def _crossed(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """a, b: verified links between rows (bucket columns band and key, id, label, n, sketch, bands, bag) of one bucket with
-    different labels. In each bucket the rows outside its most frequent label are the queries, against all its rows,
-    in blocks bounded in rows and bytes. No row is left out; a pair is verified within its block, in the first
-    band that both share, once its sizes and sketches allow the similarity, and becomes a row only as a link."""
-    size = rows.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("band", "key")
-    size = size.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.greatest(F.ceil(F.sum("c") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"), F.count("*").alias("labels"))
-    rows = rows.join(size.where("labels > 1"), ["band", "key"])
-    item = F.struct("id", "label", "n", "sketch", "bands", "bag")
-    part = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.col("parts"))
-    asked = rows.where("label <> major").groupBy("band", "key", part(1).alias("q")).agg(F.collect_list(item).alias("asking"))
-    held = rows.groupBy("band", "key", part(2).alias("h")).agg(F.collect_list(item).alias("holding"))
+def _sketch_filter(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sketches allow the similarity."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(len(b), -1) if len(b) else np.zeros((0, 1), np.uint8) for k in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array(_likely(x, y, similarity), pa.bool_()))
+
+    one = pairs.join(sketches.select(F.col("row").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = one.join(sketches.select(F.col("row").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return bounded_batches(both).mapInArrow(agree, "a long, b long")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs whose shingle multisets are so similar. Bags move to the pairs, which are as many as texts for the
+    most part; a hot text's pairs are split by adaptive execution, as both sides are written tables."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(bags.select(F.col("row").alias("a"), F.col("bag").alias("ba")), "a")
+    two = one.join(bags.select(F.col("row").alias("b"), F.col("bag").alias("bb")), "b").select("a", "b", "ba", "bb")
+    return bounded_batches(two).mapInArrow(verify, "a long, b long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """row, label: the least row of each one's connected component, for all rows in links (a, b). Rounds of taking the
+    least label of the neighbours and then the label's own label, each written out, until none changes."""
+    with scratch():
+        both = persisted(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+        labels = both.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("m")).select("row", F.least("row", "m").alias("label"))
+        while True:
+            labels = persisted(labels)
+            near = both.join(labels.select(F.col("row").alias("b"), "label"), "b").groupBy(F.col("a").alias("row")).agg(F.min("label").alias("m"))
+            least = labels.join(near, "row").select("row", F.least("label", "m").alias("new"), "label")
+            jump = labels.select(F.col("row").alias("new"), F.col("label").alias("far"))
+            after = persisted(least.join(jump, "new", "left").select("row", F.least("new", F.coalesce("far", "new")).alias("label"), F.col("label").alias("old")))
+            labels = after.select("row", "label")
+            if not after.where("label <> old").head(1):
+                return persisted(labels, lasting=True)
+
+
+def _crossed(labelled: DataFrame, first: DataFrame, bags: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: verified links between rows (labelled: band, key, row, n, label) of one bucket with different labels.
+
+    In each bucket the rows outside its most frequent label are the queries, against all its rows. Queries and rows are
+    dealt into blocks bounded in rows and shingles, and each two blocks that meet are a cell of their own, dealt by
+    bucket and blocks: so a hot bucket is many cells on many tasks. No row is left out; a pair is verified within its
+    cell, in the first band that both share, once its sizes and sketches allow the similarity, and becomes a row
+    only as a link. A task holds one cell at a time."""
+    per = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("band", "key")
+    per = per.agg(F.max(F.struct("c", "label", "s")).alias("major"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("labels")).where("labels > 1")
+    parts = lambda c, s: F.greatest(F.ceil(c / block), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    open_ = broadcast_if_small(per.select("band", "key", F.col("major.label").alias("major"), parts(F.col("c") - F.col("major.c"), F.col("s") - F.col("major.s")).alias("qs"), parts(F.col("c"), F.col("s")).alias("hs")), lasting=False)
+    rows = labelled.join(open_, ["band", "key"])
+    part = lambda seed, of: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = rows.where("label <> major").select("band", "key", "row", "n", "label", F.lit(0).alias("side"), part(1, "qs").alias("q"), every("hs").alias("h"))
+    held_ = rows.select("band", "key", "row", "n", "label", F.lit(1).alias("side"), every("qs").alias("q"), part(2, "hs").alias("h"))
+    some = rows.select("row").distinct()
+    facts = persisted(first.join(some, "row", "left_semi").select("row", "sketch", "bands").join(bags, "row"))
+    cells = asked.union(held_).join(facts, "row").select("band", "key", "q", "h", "side", "row", "n", "label", "sketch", "bands", "bag")
+
+    def compared(cell: pa.Table) -> pa.RecordBatch:
+        band, side = cell["band"][0].as_py(), np.asarray(cell["side"])
+        row, n, label = (np.asarray(cell[c]) for c in ("row", "n", "label"))
+        sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(cell), -1)
+        keys = np.asarray(cell["bands"].combine_chunks().flatten()).reshape(len(cell), -1)
+        bag = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell["bag"]]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        fits = (label[x, None] != label[y]) & (np.minimum(n[x, None], n[y]) >= similarity * np.maximum(n[x, None], n[y]) - 1e-9)
+        for k in range(band):  # pairs that share an earlier band are compared there
+            fits &= keys[x, k, None] != keys[y, k]
+        left, right = np.nonzero(fits)
+        found: list[tuple[int, int]] = []
+        for at in range(0, len(left), 1 << 15):
+            i, j = x[left[at : at + (1 << 15)]], y[right[at : at + (1 << 15)]]
+            likely = _likely(sketch[i], sketch[j], similarity)
+            found += [(row[a], row[b]) for a, b in zip(i[likely].tolist(), j[likely].tolist(), strict=True) if _similar(bag[a], bag[b], similarity)]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list[pa.RecordBatch] = []
+        at: tuple = ()
         for b in batches:
-            for band, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                x, y = x.values, y.values
-                (ia, la, na, sa, ka, ba), (ib, lb, nb, sb, kb, bb) = ([v.field(k) for k in range(6)] for v in (x, y))
-                na, nb, la, lb = np.asarray(na), np.asarray(nb), np.asarray(la), np.asarray(lb)
-                sa, sb = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (sa, sb))
-                ka, kb = (np.asarray(k.flatten()).reshape(len(k), -1) for k in (ka, kb))
-                bb = [np.frombuffer(v.as_buffer(), np.uint64) for v in bb]
-                fits = (la[:, None] != lb) & (np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) - 1e-9)
-                for k in range(band):  # pairs that share an earlier band are compared there
-                    fits &= ka[:, k, None] != kb[:, k]
-                left, right = np.nonzero(fits)
-                found: list[tuple[int, int]] = []
-                for at in range(0, len(left), 1 << 16):
-                    i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-                    likely = _likely(sa[i], sb[j], similarity)
-                    for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
-                        mine = np.frombuffer(ba[i].as_buffer(), np.uint64)
-                        both = _overlap(mine, bb[j])
-                        if both >= similarity * (len(mine) + len(bb[j]) - both) - 1e-9:
-                            found.append((i, j))
-                if found:
-                    yield pa.RecordBatch.from_arrays([ia.take(pa.array([i for i, _ in found])), ib.take(pa.array([j for _, j in found]))], names=["a", "b"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return asked.join(held, ["band", "key"]).select("band", "asking", "holding").mapInArrow(compare, f"a {kind}, b {kind}")
+            where = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(4)])
+            edges = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), len(b)] if len(b) else []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if cell and at != tuple(where[:, begin]):
+                    yield compared(pa.Table.from_batches(cell))
+                    cell = []
+                at = tuple(where[:, begin])
+                cell.append(b.slice(begin, end - begin))
+        if cell:
+            yield compared(pa.Table.from_batches(cell))
+
+    cell = ["band", "key", "q", "h"]
+    return bounded_batches(cells.repartition(*cell).sortWithinPartitions(*cell)).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """id_col, class_id and kept of each row of docs: class_id is the least id of the connected component of texts that
-    are so similar; of a class the row with that id is kept.
+    """id_col, class_id, kept and mark (the text's MD5) of each row of docs: class_id is the least id of the connected
+    component of texts that are so similar; of a class one row with that id is kept.
 
-    1. Signatures of all rows are made once and written to the checkpoint folder. Texts of the same words (compared by
-       SHA-256) are one class from the start and take part through their least id.
+    1. Signatures of all rows are made once and written to the shared folder, with a number for each row. Texts of the
+       same words (compared by SHA-256) are one class from the start and take part through the row of the least id.
     2. Bands put texts in buckets. Of each bucket the text that shares the most buckets' rows with others, likely the
        common original, is compared with every other: pairs grow with the rows of buckets, not with their square.
        Verified pairs are linked, and their components labelled.
     3. Where a bucket still has more than one label, its other pairs of different labels are compared too, in blocks,
        first by sketches, then as multisets. So no pair that shares a band is left out: links within one component would
        not change it.
-    An id that stands for several texts takes part in no links; its rows are classed by their words alone.
+    Rows are told apart by their own numbers, so an id may stand for several texts: each takes part.
     Rows with a null id, and texts without words (null ones too), are no duplicates of anything: they are kept, each
     a class of its own with its own id. Rows with the same id and words are one class and all but one of them go.
     Empty tables give no rows; other columns are not read."""
-    made = persisted(signed(docs, id_col, text_col, bands, rows).withColumn("row", F.monotonically_increasing_id()))
-    live = made.where("id IS NOT NULL AND n > 0")
-    several = live.groupBy("id").agg(F.min(F.xxhash64("words")).alias("low"), F.max(F.xxhash64("words")).alias("high")).where("low <> high").select("id")
-    same = persisted(live.groupBy("words").agg(F.min(F.struct("id", "row")).alias("first")).select("words", F.col("first.id").alias("rep"), F.col("first.row").alias("rep_row")))
-    first = live.join(same.select(F.col("rep_row").alias("row")), "row", "left_semi").join(several, "id", "left_anti").select("id", "n", "sketch", "bands")
-    banded = first.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = persisted(banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band", "key", "size"))
-    members = persisted(banded.join(buckets, ["band", "key"]))
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    ranked = persisted(members.join(score, "id").select("band", "key", "id", "n", "score"))
-    reps = ranked.groupBy("band", "key").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("score"), F.col("id"))).alias("rep"))
-    stars = ranked.join(reps, ["band", "key"]).select(F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
-    stars = stars.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    sketches = first.select("id", "sketch")
-    stars = persisted(_sketch_filter(stars, sketches, similarity))
-    wanted = ranked.select("id").distinct()
-    texts = persisted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    links = persisted(_verified(stars, texts, similarity))
-    labels = components(links)
-    labelled = ranked.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = persisted(labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key"))
-    open_rows = labelled.join(mixed, ["band", "key"])
-    bags = _bags(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
-    crossed = persisted(_crossed(open_rows.join(first.select("id", "sketch", "bands"), "id").join(bags, "id"), similarity, block))
-    if crossed.head(1):
-        labels = components(links.union(crossed))
-    classes = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("words", "rep_row", F.coalesce("label", "rep").alias("class_id"))
-    out = made.join(classes, "words", "left").withColumn("class_id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("class_id")).otherwise(F.col("id")))
-    kept = (F.col("id").isNull()) | (F.col("n") == 0) | ((F.col("id") == F.col("class_id")) & (F.col("row") == F.col("rep_row")))
-    return out.select(F.col("id").alias(id_col), "class_id", kept.alias("kept"))
-
-
-def _sketch_filter(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches allow the similarity."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(len(b), -1) if len(b) else np.zeros((0, 1), np.uint8) for k in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array(_likely(x, y, similarity), pa.bool_()))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {kind}, b {kind}")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), mark_of(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    with scratch():
+        made = persisted(signed(texts, bands, rows).withColumn("row", F.monotonically_increasing_id()), lasting=True)
+        whole = F.struct("id", "row", "mark", "n", "bands", "sketch")
+        same = made.where("id IS NOT NULL AND n > 0").groupBy("words").agg(F.min_by(whole, F.struct("id", "row")).alias("first"), F.count("*").alias("copies"))
+        same = persisted(same.select("words", "copies", "first.*"))
+        first = same.select("id", "row", "mark", "n", "bands", "sketch")
+        banded = first.select("row", "n", F.posexplode("bands").alias("band", "key"))
+        buckets = persisted(banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"))
+        members = persisted(banded.join(buckets, ["band", "key"]))
+        score = persisted(members.groupBy("row").agg(F.sum("size").alias("score")))
+        ranked = persisted(members.join(score, "row").select("band", "key", "row", "n", "score"))
+        reps = persisted(ranked.groupBy("band", "key").agg(F.min_by(F.struct("row", "n"), F.struct(-F.col("score"), F.col("row"))).alias("rep")))
+        stars = ranked.join(reps, ["band", "key"]).select(F.col("rep.row").alias("a"), F.col("row").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
+        stars = stars.where((F.col("a") != F.col("b")) & _fit(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
+        stars = persisted(_sketch_filter(stars, first, similarity))
+        wanted = score.select("row").join(first.select("row", "id", "mark"), "row")
+        bags = persisted(_bags(texts.join(wanted, ["id", "mark"]).select("row", "t")).dropDuplicates(["row"]))
+        links = persisted(_verified(stars, bags, similarity))
+        labels = components(links)
+        labelled = persisted(ranked.select("band", "key", "row", "n").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
+        crossed = persisted(_crossed(labelled, first, bags, similarity, block))
+        if crossed.head(1):
+            labels = components(links.union(crossed))
+        # Of a class the row of the least id stays. Texts without links or copies are not in the table of classes.
+        best = labels.join(first.select("row", "id"), "row").groupBy("label").agg(F.min(F.struct("id", "row")).alias("best"))
+        known = same.select("words", "copies", "row", "id").join(labels.join(persisted(best), "label").select("row", "best"), "row", "left")
+        classes = broadcast_if_small(known.where("copies > 1 OR best IS NOT NULL").select("words", F.coalesce("best", F.struct("id", "row")).alias("best")))
+    live = F.col("id").isNotNull() & (F.col("n") > 0)
+    out = made.join(classes, "words", "left")
+    kept = ~live | F.col("best").isNull() | (F.col("best.row") == F.col("row"))
+    return out.select(F.col("id").alias(id_col), F.when(live, F.coalesce("best.id", "id")).otherwise(F.col("id")).alias("class_id"), kept.alias("kept"), "mark")

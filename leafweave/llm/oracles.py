@@ -24,7 +24,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 
 SQL["op4_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS mark, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -39,7 +39,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t
 )
 SELECT d.doc_id, d.size, r.source_size, r.target,
-  d.size * CAST(floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+  d.size * CAST(floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || mark || '|' || row_number() OVER (PARTITION BY d.doc_id, mark) - 1), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 

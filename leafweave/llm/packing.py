@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import blocks, persisted
+from leafweave.llm.common import blocks, bounded_batches, broadcast_if_small, held, persisted
 
 LENGTH, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 
 #: How many words' ids a worker keeps; on reaching it, it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 #: The tokenizer file's own pre-tokens, and text on which its normaliser only lower-cases ASCII letters.
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -35,10 +35,12 @@ class WordIds:
     the other. Runs that recur are looked up; those of plain letters go to the model alone, the rest through the
     whole tokenizer. Texts with characters that Python and the tokenizer disagree on as white space go through it whole."""
 
-    def __init__(self, path: str, kind: np.dtype, end: int = END_ID):
+    def __init__(self, path: str, end: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.whole, self.kind, self.end = Tokenizer.from_file(path), kind, np.array([end], kind).tobytes()
+        self.whole = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if max(self.whole.get_vocab_size(), end + 1) <= 65536 else "<u4")
+        self.end = np.array([end], self.kind).tobytes()
         self.model = self.whole.model.tokenize
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -84,9 +86,6 @@ class WordIds:
         return out
 
 
-_made: dict[tuple, WordIds] = {}
-
-
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """id, part (the partition), at (tokens of the partition before this text), n and ids (little-endian unsigned
     numbers of 2 bytes, or 4 where the vocabulary is larger than 65536) of each row; null texts count as empty."""
@@ -94,11 +93,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _made.get((path, end_id))
-        if encode is None:
-            encode = _made[path, end_id] = WordIds(path, np.dtype("<u2"), end_id)
-            if max(encode.whole.get_vocab_size(), end_id + 1) > 65536:
-                encode.kind = np.dtype("<u4")
+        encode = held(("words", path, end_id), lambda: WordIds(path, end_id))
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             for first, texts in blocks(b.column(1)):
@@ -107,7 +102,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["id", "part", "at", "n", "ids"])
                 at += int(n.sum())
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tokenise, f"id {kind}, part int, at long, n long, ids binary")
+    return bounded_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))).mapInArrow(tokenise, f"id {kind}, part int, at long, n long, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -116,14 +111,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     Rows' ids, each row's followed by end_id, lie one after the other in the order of partitions, and are cut every
     `length` ids; so only the last sequence may be short and each id is in one piece. First pass: ids are made once
-    and written to the checkpoint folder, which also fixes the order that a lost executor must not change. Then the
+    and written to the shared folder, which also fixes the order that a lost executor must not change. Then the
     partitions' totals (one row a partition) get prefix sums, and are broadcast: their number is checked. Second
     pass: each row is cut where its global place meets a window's edge; a row over several windows gives a record
     for each. Empty and null texts are a lone end_id; repeated rows are packed each; empty tables give no rows."""
-    made = persisted(tokenised(docs, id_col, text_col, path, end_id))
+    made = persisted(tokenised(docs, id_col, text_col, path, end_id), lasting=True)
     totals = made.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
-    placed = made.join(F.broadcast(before) if made.rdd.getNumPartitions() <= 1_000_000 else before, "part")
+    placed = made.join(broadcast_if_small(before, 1_000_000), "part")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,4 +137,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = placed.select("id", "n", "ids", (F.col("before") + F.col("at")).alias("place"))
-    return out.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return bounded_batches(out).mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

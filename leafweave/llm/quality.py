@@ -27,12 +27,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """id, lang, source and the counts of each row: n_words, word_chars, n_symbols, n_lines, n_dup_lines and
     n_repeat_words. Null texts count as empty.
 
-    Windows of eight words are compared by a 64-bit hash of their words' 64-bit hashes within one text. Only where a
-    text has a window twice are its windows sorted, with their places, to find the words that repeated windows
+    Windows of eight words are compared by a 64-bit hash of their words' 64-bit hashes, within one text only: in a text of
+    n words, two different windows count as one with a probability of n * n / 2 ** 65. Only where a text has a window twice are its windows sorted, with their places, to find the words that repeated windows
     cover: each repeated window adds the words up to the next repeated one, eight at most."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("t"))
-    trimmed = F.expr(r"btrim(t, ' \t\n\u000B\f\r')")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    df = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), text.alias("t"))
+    trimmed = F.btrim(F.col("t"), F.lit(" \t\n\x0b\x0c\r"))
     df = df.withColumn("words", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))")).withColumn("lines", F.expr(r"filter(split(t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     some = ", ".join(f"hashes[i + {k}]" if k else "hashes[i]" for k in range(WINDOW))
@@ -79,17 +79,18 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     duplicate lines and of words in repeated windows are no higher than the 0.99 quantiles of the base-passing texts
     there (or the least threshold, if that is more). Groups with fewer than least_rows texts use their language's
     quantiles, those of small languages all texts'. Null languages and sources are groups
-    like others. Repeated rows count each; empty tables give no rows; other columns are not read. Counts are made
-    once and written to the checkpoint folder, then read for the sketches and for the filter."""
-    counts = persisted(measured(docs, id_col, text_col, lang_col, source_col))
+    like others. Values tied with a limit pass. Repeated rows count each; empty tables give no rows; other columns are
+    not read. Counts are made once and written to the shared folder, then read for the sketches and for the filter."""
+    counts = persisted(measured(docs, id_col, text_col, lang_col, source_col), lasting=True)
     limits = persisted(thresholds(counts, least_rows))
     out = counts
-    for level, name in ((0, "own"), (1, "by_lang"), (3, "all")):
+    for level, name in ((0, "own"), (1, "by_lang")):
         at = limits.where(F.col("level") == level).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.struct(*MEASURES).alias(name))
-        at = broadcast_if_small(at)
-        on = {0: F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), 1: F.col("lang").eqNullSafe(F.col("l")), 3: F.lit(True)}[level]
-        out = out.join(at, on, "left").drop("l", "s")
-    limit = F.coalesce("own", "by_lang", "all")
+        on = F.col("lang").eqNullSafe(F.col("l"))
+        out = out.join(broadcast_if_small(at), on & F.col("source").eqNullSafe(F.col("s")) if level == 0 else on, "left").drop("l", "s")
+    overall = limits.where("level = 3").head()  # one row, or none
+    value = lambda m: F.lit(None) if overall is None or overall[m] is None else F.array(*map(F.lit, overall[m]))
+    limit = F.coalesce("own", "by_lang", F.struct(*(value(m).cast("array<double>").alias(m) for m in MEASURES)))
     shares = {"symbol_share": F.col("n_symbols") / F.nullif("word_chars", F.lit(0)), "dup_line_share": F.col("n_dup_lines") / F.nullif("n_lines", F.lit(0)), "repeat_share": F.col("n_repeat_words") / F.nullif("n_words", F.lit(0)), "word_length": F.col("word_chars") / F.nullif("n_words", F.lit(0))}
     fits = F.lit(True)
     for m, least in RARE.items():

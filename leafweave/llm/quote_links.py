@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import persisted
+from leafweave.llm.common import numbered, persisted, scratch
 
 #: A line's quote marks: `>` with blanks between and after them.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Lines that only introduce a quote.
-INTRODUCTION = r"(?i)^\s*(on\b.{0,200}\bwrote|.{0,100}\bwrote|-+ ?original message ?-+)\s*:?\s*$"
+INTRODUCTION = r"(?i)^\s*(on\b.*\bwrote|.*\bwrote|-+ ?original message ?-+)\s*:?\s*$"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -43,38 +43,64 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_col, turn, role, content, quotes, parent_turn, linked, thread_turn and depth of each message.
+    """conv_col, turn_col, role_col, content, quotes, parent_turn, linked, thread_turn and depth of each message.
 
     content is the text without quotes. A quoted passage is joined, by the hash of its normalised text, to the first
     message of its conversation that has it as a text or run of its own, if that came before; a passage without such a
     message to the latest of those that were the first to have one of its lines. The parent is the latest of these
     of the shallowest level that has any (linked is true); a message without such a quote answers the turn before its
-    own, if there is one, else it begins a thread. thread_turn is the first turn of the message's thread and depth its
-    distance from it, so that by (conversation, thread_turn, turn) every message follows what it answers. Threads are
-    followed by doubling the distance each round, in as many rounds as the logarithm of the longest.
+    own, whatever its number, if there is one, else it begins a thread. thread_turn is the first turn of the message's
+    thread and depth its distance from it; see conversations() for the order they give. Threads are followed by doubling
+    the distance each round, in as many rounds as the logarithm of the longest; a message whose first turn is found
+    takes part in no further round.
 
     Null texts count as empty; rows without a conversation or turn keep their content and have no links; of repeated
-    turns each row is kept. Originals are made unique by (conversation, hash) before the join, so that a hot passage
-    gives each quote one row. Empty tables give no rows; other columns are not read."""
-    df = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    df = persisted(parsed(df).withColumn("row", F.monotonically_increasing_id()))
-    known = df.where("conv IS NOT NULL AND turn IS NOT NULL")
-    first = known.select("conv", "turn", F.explode("units").alias("u")).groupBy("conv", F.col("u.hash").alias("hash")).agg(F.min(F.when(F.col("u.whole"), F.col("turn"))).alias("whole_at"), F.min("turn").alias("line_at"))
-    asks = known.select("row", "conv", "turn", F.posexplode("passages").alias("k", "p")).select("row", "conv", "turn", "k", "p.level", F.explode(F.expr("concat(array(struct(p.hash AS hash, false AS part)), transform(p.parts, h -> struct(h AS hash, true AS part)))")).alias("a")).select("row", "conv", "turn", "k", "level", "a.hash", "a.part")
-    found = asks.join(first, ["conv", "hash"]).where("line_at < turn").groupBy("row", "k", "level").agg(F.coalesce(F.max(F.expr("CASE WHEN NOT part AND whole_at < turn THEN whole_at END")), F.max("line_at")).alias("source"))
-    found = found.groupBy("row").agg(F.max(F.struct(-F.col("level"), "source")).alias("best"))
-    turns = known.select("conv", "turn").distinct()
-    before = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    told = df.select("conv", "turn", "role", "own", "row", F.expr("size(array_distinct(transform(passages, p -> struct(p.level, p.hash))))").cast("long").alias("quotes"))
-    every = told.join(found.select("row", F.col("best.source").alias("source")), "row", "left").join(before, ["conv", "turn"], "left")
-    every = persisted(every.withColumn("parent", F.coalesce("source", "previous")))
-    # Of repeated turns the least parent stands for the turn, so that a turn has one place in its thread.
-    at = persisted(every.where("conv IS NOT NULL AND turn IS NOT NULL").groupBy("conv", "turn").agg(F.min("parent").alias("up")).select("conv", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
-        far = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        after = persisted(at.join(far, ["conv", "up"]).select("conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("further") != F.col("up")).alias("moved")))
-        at = after.select("conv", "turn", "up", "depth")
-        if not after.where("moved").head(1):
-            break
-    out = every.join(at.select("conv", "turn", F.col("up").alias("thread_turn"), "depth"), ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias("content"), "quotes", F.col("parent").alias("parent_turn"), F.col("source").isNotNull().alias("linked"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    turns each row is kept, and the least parent places the turn in its thread. Of messages with one passage the first
+    turn is its original. Originals are made unique by (conversation, hash) and written before the join, so that a hot
+    passage gives each quote one row and its quotes can be dealt to several tasks. Turns are numbered by range, so that
+    the turn before is found however long a conversation is. Very long texts are parsed whole, in one row each. Empty
+    tables give no rows; other columns are not read."""
+    names = dict(zip(("conv", "turn", "role", "text"), (conv_col, turn_col, role_col, text_col), strict=True))
+    df = messages.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()))
+    with scratch():
+        df = persisted(parsed(df).withColumn("row", F.monotonically_increasing_id()))
+        known = df.where("conv IS NOT NULL AND turn IS NOT NULL")
+        units = known.select("conv", "turn", F.explode("units").alias("u"))
+        first = persisted(units.groupBy("conv", F.col("u.hash").alias("hash")).agg(F.min(F.when(F.col("u.whole"), F.col("turn"))).alias("whole_at"), F.min("turn").alias("line_at")))
+        asks = known.select("row", "conv", "turn", F.posexplode("passages").alias("k", "p"))
+        asks = asks.select("row", "conv", "turn", "k", "p.level", F.explode(F.expr("concat(array(struct(p.hash AS hash, false AS part)), transform(p.parts, h -> struct(h AS hash, true AS part)))")).alias("a"))
+        asks = asks.select("row", "conv", "turn", "k", "level", "a.hash", "a.part")
+        found = asks.join(first, ["conv", "hash"]).where("line_at < turn").groupBy("row", "k", "level").agg(F.coalesce(F.max(F.expr("CASE WHEN NOT part AND whole_at < turn THEN whole_at END")), F.max("line_at")).alias("source"))
+        found = found.groupBy("row").agg(F.max(F.struct(-F.col("level"), "source")).alias("best")).select("row", F.col("best.source").alias("source"))
+        turns = persisted(numbered(known.select("conv", "turn").distinct(), "conv", "turn"))
+        after = turns.select((F.col("number") + 1).alias("number"), F.col("conv").alias("of"), F.col("turn").alias("previous"))
+        before = turns.join(after, "number").where("conv = of").select("conv", "turn", "previous")
+        told = df.select("conv", "turn", "role", "own", "row", F.expr("size(array_distinct(transform(passages, p -> struct(p.level, p.hash))))").cast("long").alias("quotes"))
+        every = told.join(found, "row", "left").join(before, ["conv", "turn"], "left")
+        every = persisted(every.withColumn("parent", F.coalesce("source", "previous")), lasting=True)
+        at = every.where("conv IS NOT NULL AND turn IS NOT NULL").groupBy("conv", "turn").agg(F.min("parent").alias("up"))
+        at = persisted(at.select("conv", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
+        placed, at = at.where("done").drop("done"), at.where("NOT done").drop("done")
+        while at.head(1):
+            # up is of depth 0, or further on its own way up.
+            tops = placed.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.lit(True).alias("done"))
+            ways = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.lit(False).alias("done"))
+            step = persisted(at.join(tops.union(ways), ["conv", "up"]).select("conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "done"))
+            placed, at = placed.union(step.where("done").drop("done")), step.where("NOT done").drop("done")
+        tops = persisted(placed.select("conv", "turn", F.col("up").alias("thread_turn"), "depth"), lasting=True)
+    out = every.join(tops, ["conv", "turn"], "left")
+    kept = {"conv": conv_col, "turn": turn_col, "role": role_col, "own": "content", "quotes": "quotes", "parent": "parent_turn"}
+    return out.select(*(F.col(k).alias(c) for k, c in kept.items()), F.col("source").isNotNull().alias("linked"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+def conversations(linked_messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """The messages of linked() with thread (conversations without quotes, numbered from 0) and place (from 0 within the
+    thread), in reply order: every message follows what it answers, and the threads of a conversation follow each
+    other. Rows are numbered by range, so that a thread may be longer than a task can hold; repeated turns follow each
+    other in the order of their content."""
+    rows = linked_messages.withColumn("_none", F.col(conv_col).isNull() | F.col(turn_col).isNull())
+    rows = persisted(numbered(rows, "_none", conv_col, "thread_turn", turn_col, "content", name="_at"), lasting=True)
+    key = [F.col(conv_col).alias("_conv"), F.col("thread_turn").alias("_top")]
+    begin = numbered(rows.groupBy(*key).agg(F.min("_at").alias("_from")), "_from", name="thread")
+    same = F.col(conv_col).eqNullSafe(F.col("_conv")) & F.col("thread_turn").eqNullSafe(F.col("_top"))
+    return rows.join(begin, same).select(*linked_messages.columns, "thread", (F.col("_at") - F.col("_from")).alias("place"))

@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import blocks
+from leafweave.llm.common import blocks, bounded_batches, held
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK = 512
 #: Pre-tokens whose counts, and pairs of tokens whose verdicts, a worker keeps.
-MOST_WORDS, PAIR_BITS = 400_000, 20
+MOST_WORDS, PAIR_BITS = 300_000, 20
 
 # Character classes; the letters of 's 't 're 've 'm 'll 'd have classes of their own.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, STMD, R, V, E, L, END = range(12)
@@ -306,9 +306,6 @@ class Counter:
         return n_bytes, tokens
 
 
-_made: dict[str, Counter] = {}
-
-
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit of each row, without a shuffle. Null texts count as empty: 0 tokens.
     Repeated rows count each; empty tables give no rows; other columns are not read. A worker compiles the machines
@@ -317,10 +314,10 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _made.get(path) or _made.setdefault(path, Counter(path))
+        counter = held(("tokens", path), lambda: Counter(path))
         for b in batches:
             for first, texts in blocks(b.column(1), 2 << 20):
                 n_bytes, tokens = counter(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -9,19 +9,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import blocks, persisted
+from leafweave.llm.common import blocks, bounded_batches, held, persisted, scratch
 
 #: Rows whose crc32 of the id as text has this remainder by 4 are held out.
 HELD_OUT = 2
-#: Bound of the training sample: labelled rows (those with the least hashes of their ids), and characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 8_000
+#: Bound of the training sample: labelled rows of both labels, those with the least hashes of their ids, and of these as
+#: many, in that order, as have so many characters in sum. Texts of any length take part, and whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 16_000_000
 THRESHOLD = 0.3
 WINDOW, DIMENSIONS, BUCKETS, GRAMS = 3, 8, 1 << 17, (3, 4, 5)
 EPOCHS, WARM = 160, 30
 #: Words a worker keeps the weights of; on reaching it, it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA1, 0xAB, 0xBB, 0xBF, 0x201C, 0x201D, 0x2018, 0x2019, 0x2026]))
 
 
@@ -167,36 +169,47 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model from labelled rows that aren't held out: of either label those rows / 2 with the least hashes of their
-    ids, and of them the texts of up to `chars` characters. Only this sample comes to the driver: rows x chars
-    characters at most. Of an id with both labels 1 counts; labels other than 0 and 1 do not."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    share = known.agg(F.avg("y")).head()[0]
-    some = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows // 2)
-    known = persisted(some(0).union(some(1)))
-    sample = docs.select(id_col, F.col(text_col).alias("t")).where(F.length("t") <= chars).join(F.broadcast(known), id_col).select(id_col, "t", "y")
-    got = sample.toArrow().sort_by([(id_col, "ascending"), ("y", "ascending")])
+    ids, and of these the first, in that order, that have chars / 2 characters in sum (the first one in any case). Only
+    this sample comes to the driver. Of an id with both labels 1 counts; labels other than 0 and 1 do not."""
+    id_, order = F.col(f"`{id_col}`"), [F.xxhash64("id"), F.col("id")]
+    with scratch():
+        known = labels.select(id_.alias("id"), F.col(f"`{label_col}`").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+        share = known.agg(F.avg("y")).head()[0]
+        some = lambda y: known.where(F.col("y") == y).orderBy(*order).limit(rows // 2)
+        known = persisted(some(0).union(some(1)))
+        texts = docs.select(id_.alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+        texts = persisted(texts.join(F.broadcast(known), "id"))
+        before = F.sum("chars").over(W.partitionBy("y").orderBy(*order, "row").rowsBetween(W.unboundedPreceding, -1))
+        fits = texts.select("id", "y", "row", F.length("t").alias("chars")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars // 2)
+        got = texts.join(F.broadcast(fits.select("row")), "row", "left_semi").select("id", "t", "y").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     return train(got["t"].to_pylist(), got["y"].to_pylist(), share)
 
 
-_made: dict[int, tuple[object, Scorer]] = {}
-
-
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """id_col, or the columns named, and _score (0 to 1) of each row, without a shuffle. Every window of the whole text
-    counts; texts without words (null ones too) score 0. Repeated rows are scored each; empty tables give no rows."""
+def _scored(docs: DataFrame, model: Model, text_col: str, columns: list[str]) -> DataFrame:
+    """The columns named, as c0, c1 and so on, and score, of each row, without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [id_col] if columns is None else columns
+    sends = columns if text_col in columns else [*columns, text_col]
+    width, at = len(columns), sends.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(model := sent.value)  # the same object for all tasks of a worker; _made keeps it alive
-        if key not in _made:
-            _made.clear()
-            _made[key] = model, Scorer(model)
-        scorer = _made[key][1]
+        model = sent.value  # the same object for all tasks of a worker; its scorer keeps it alive
+        scorer = held(("scorer", id(model)), lambda: Scorer(model))
         for b in batches:
-            scores = np.concatenate([scorer(texts) for _, texts in blocks(b.column(len(keep)))]) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(scores)], names=[*keep, "_score"])
+            scores = np.concatenate([scorer(texts) for _, texts in blocks(b.column(at))]) if len(b) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(scores)], names=[*(f"c{i}" for i in range(width)), "score"])
+
+    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
+    chosen = docs.select(*(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`") for c in sends))
+    return bounded_batches(chosen).mapInArrow(score, ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "score double"]))
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and score (0 to 1) of each row. Every window of the whole text counts; texts without words (null ones too)
+    score 0. Repeated rows are scored each; empty tables give no rows; other columns are not read."""
+    return _scored(docs, model, text_col, [id_col]).withColumnRenamed("c0", id_col)
+
 
-    chosen = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", _score double"
-    return chosen.mapInArrow(score, schema)
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with their columns, whatever their names, whose score is below the threshold."""
+    below = _scored(docs, model, text_col, docs.columns).where(F.col("score") < threshold)
+    return below.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

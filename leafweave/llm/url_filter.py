@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafweave.llm.common import bounded_batches
+
 #: (verdict, rule): the rule is a host, then a path that begins with a slash.
 RULES = (
     ("allow", "com/"),
@@ -92,6 +94,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_c
     rules = list(rules)
     if sum(len(r) for _, r in rules) > MAX_RULE_BYTES:
         raise ValueError("too many rules to broadcast")
+    Trie(rules)  # a rule that is none fails here
     spark = pages.sparkSession
     sent = spark.sparkContext.broadcast(rules)
 
@@ -103,4 +106,4 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_c
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in ([u[0] for u in urls], [u[1] for u in urls], [f[0] for f in found], [f[1] for f in found]))], names=[id_col, "host", "path", "rule", "verdict"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col), F.col(url_col).cast("string")).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return bounded_batches(pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`").cast("string"))).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")

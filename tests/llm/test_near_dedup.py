@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -87,3 +88,24 @@ def test_awkward_rows(documents, awkward):
     assert {x.class_id for i in (4, 5, 22) for x in of[i]} == {4} and [sum(x.kept for x in of[i]) for i in (4, 5, 22)] == [1, 0, 0]
     assert of[7][0].class_id == 6 and of[24][0].class_id == 23 and of[21][0].class_id == 20 and sum(x.kept for x in of[20] + of[21]) == 2
     assert N.near_duplicates(documents(rows).where("doc_id < 0")).collect() == []
+
+
+def test_ids_of_several_texts_take_part(documents):
+    r = random.Random(5)
+    base = [f"w{r.randrange(999)}" for _ in range(60)]
+    t, more = " ".join(base), " ".join([*base, "more"])
+    got = N.near_duplicates(documents([(1, t), (1, "other words altogether"), (2, more), (2, "other  WORDS altogether"), (5, more)])).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == [(1, 1), (1, 1), (2, 1), (2, 1), (5, 1)]
+    assert sorted(x.doc_id for x in got if x.kept) == [1, 1]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_recall_on_a_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(docs).collect()}
+    want = brute([(x.doc_id, x.text) for x in docs.collect()])
+    classes = lambda of: {i for i, c in of.items() if c != i}
+    assert got == want and len(classes(want)) > 0

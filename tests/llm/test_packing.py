@@ -41,7 +41,7 @@ def test_empty_table(documents):
 def test_word_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(packing, "MOST_WORDS", 5)
     path = public_tokenizers.path("word_bpe_49k.json")
-    encode, whole = packing.WordIds(path, np.dtype("<u2")), Tokenizer.from_file(path)
+    encode, whole = packing.WordIds(path), Tokenizer.from_file(path)
     for texts in (["a b c"], ["a b d e f"], ["c d e", "g h i j k l"], ["Lorem ipsum a-b"]):
         for t, ids in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]

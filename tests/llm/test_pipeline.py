@@ -1,5 +1,3 @@
-import hashlib
-import math
 import random
 
 import public_tokenizers
@@ -7,34 +5,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from leafweave.llm import toxicity
-from tests.llm.test_near_dedup import brute, corpus
-
-
-def mixed(rows, sources):
-    """doc_id -> copies, by the iterative rule."""
-    size = {i: len((t or "").encode().split()) for i, t in rows}
-    total = {}
-    for i, _ in rows:
-        total[sources[i]] = total.get(sources[i], 0) + size[i]
-    names = sorted(total, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
-    target, open_, left = {}, set(names), sum(total.values())
-    while open_:
-        level = left / sum(weight[s] for s in open_)
-        over = {s for s in open_ if level * weight[s] > 3 * total[s]}
-        if not over:
-            target |= {s: level * weight[s] for s in open_}
-            break
-        target |= {s: 3 * total[s] for s in over}
-        left -= sum(3 * total[s] for s in over)
-        open_ -= over
-    out = {}
-    for i, _ in rows:
-        s = sources[i]
-        rate = min(3.0, target[s] / total[s]) if total[s] else 0.0
-        draw = int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) / 16**13
-        out[i] = math.floor(rate) + (draw < rate - math.floor(rate))
-    return out
+from tests.llm.test_mixing import brute as mixed
+from tests.llm.test_near_dedup import brute, corpus, edited
 
 
 def test_run_against_brute_force(spark, documents, tmp_path):
@@ -53,7 +25,7 @@ def test_run_against_brute_force(spark, documents, tmp_path):
     rows = [(i, t) for i, t in rows if last[t or ""] == i]
     label = brute(rows)
     rows = [(i, t) for i, t in rows if label[i] == i]
-    copies = mixed(rows, sources)
+    copies = {i: k for i, *_, k in mixed([(i, t, sources[i]) for i, t in rows])}
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = {i: copies[i] * (len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows if copies[i]}
     got = {}
@@ -72,3 +44,25 @@ def test_repeated_rows_and_columns(spark, documents, awkward, tmp_path):
     assert sorted(map(str, kept)) == sorted(map(str, [2, 3, 5, 7, 8, 9, 10]))
     kept = [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [1, 2, 3, 4, None, None, 6, 8, 9, 10]))
+
+
+def test_rows_of_one_id_are_told_apart(spark, documents, tmp_path):
+    docs = documents([(1, "A x"), (1, "B y"), (2, "A x")]).select(corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == [(1, "B y"), (2, "A x")]
+    r = random.Random(9)
+    base = [f"w{r.randrange(999)}" for _ in range(80)]
+    near = " ".join(edited(r, base, 1))
+    docs = documents([(1, " ".join(base)), (1, "B y"), (2, near), (2, near), (3, "B  Y")]).select(corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(1, " ".join(base)), (1, "B y")])
+
+
+def test_columns_that_clash(spark, documents, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents([(1, "a b c"), (2, "a b c"), (3, None), (None, "x")])
+    for c in ("_id", "_mark", "mark", "doc", "stay", "rows", "copies", "col", "c0", "_text", "best", "nth"):
+        docs = docs.withColumn(c, docs.doc_id)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(x.doc == x.doc_id and x.c0 == x.doc_id for x in out.collect())

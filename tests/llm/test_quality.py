@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -21,6 +22,8 @@ def test_counts_against_brute_force(documents, awkward):
     for i in range(200):
         n = r.randrange(0, 120)
         rows.append((100 + i, "".join(r.choice("abc") + r.choice(["", "#", "é", "<|"]) + r.choice([" ", " ", "\n", "\t\x0b", "\xa0"]) for _ in range(n)) * r.choice([1, 1, 3])))
+    edges = ["f", "a f", "f a", "half of fluff", "\x0cab cd\x0c", "\x0b x y\x0b", "\r\nx\r\n", "\tx y\t", " x ", "fff", "\x0cf\x0c", "\\f x", "\xa0x y\xa0", "u000B x"]
+    rows += [(1000 + i, t) for i, t in enumerate(edges)]
     got = Q.measured(documents(rows)).select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").collect()
     want = [(i, *brute(t)) for i, t in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
@@ -56,3 +59,51 @@ def test_awkward_and_empty_tables(documents, awkward):
     got = Q.judged(documents(awkward)).collect()
     assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in awkward) and all(x.base_failed for x in got if x.n_words < 20)
     assert Q.judged(documents(awkward).where("doc_id < 0")).collect() == []
+
+
+def quantile(values, p):
+    """The least value whose rank, from 1, is p times their number or more, as in sketches of fewer values than they hold."""
+    values = sorted(values)
+    return values[max(0, math.ceil(p * len(values)) - 1)] if values else None
+
+
+def verdicts(rows, least=20):
+    """kept by exact quantiles: rows are (id, text, source)."""
+    facts, own, every = {}, {}, []
+    for i, t, s in rows:
+        n, chars, symbols, lines, dup, again = brute(t)
+        failed = n < 20 or 100 * again > 30 * n
+        facts[i] = failed, (symbols / chars, dup / lines, again / n, chars / n) if n else None
+        if n:
+            own.setdefault(s, []).append(facts[i])
+            every.append(facts[i])
+    out = {}
+    for i, _, s in rows:
+        failed, x = facts[i]
+        group = own[s] if x and len(own[s]) >= least else every
+        ok = not failed and x is not None
+        for k, margin in ((0, 0.05), (3, 2.0)) if ok else ():
+            low, high = (quantile([g[k] for _, g in group], p) for p in (0.25, 0.75))
+            room = max(4 * (high - low), margin)
+            ok = ok and x[k] <= high + room and (k == 0 or x[k] >= low - room)
+        for k, floor in ((1, 0.20), (2, 0.10)) if ok else ():
+            ok = ok and x[k] <= max(quantile([g[k] for f, g in group if not f], 0.99), floor)
+        out[i] = ok
+    return out
+
+
+def test_verdicts_against_exact_quantiles(documents):
+    r = random.Random(8)
+    word = lambda k: "".join(r.choices("abcdefgh", k=r.randrange(2, k))) + "#" * (r.random() < 0.04)
+    rows = []
+    for i in range(240):
+        source, words = r.choice(["a", "a", "b", None, f"rare{i % 4}"]), [word(r.choice([5, 9, 9, 9, 40])) for _ in range(r.randrange(5, 60))]
+        if r.random() < 0.3:
+            words += words[: r.randrange(8, 16)]
+        if r.random() < 0.1:
+            words = [w + "##" for w in words]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+        rows.append((i, "\n".join(lines + lines[: r.choice([0, 0, 0, 3])]), source))
+    got = {x.doc_id: x.kept for x in Q.judged(documents(rows), least_rows=20).collect()}
+    assert got == verdicts(rows)
+    assert 20 < sum(got.values()) < 220

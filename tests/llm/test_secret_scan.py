@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from leafweave.llm import secret_scan as S
 
@@ -42,3 +43,17 @@ def test_against_brute_force(documents, awkward):
 
 def test_empty_table(documents):
     assert S.scan(documents([(1, "x")]).where("doc_id < 0")).collect() == []
+
+
+def test_very_long_strings_and_many_of_them(documents):
+    r = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz09"  # none of the allowed runs
+    run = "".join(r.choices(alphabet, k=1_000_000)) + "1a"
+    many = " ".join("".join(r.choices(alphabet, k=22)) + f" token=abcdefg{i % 10}" for i in range(4000))
+    rows = [(1, run), (2, many), (3, "/ab" * 100_000), (4, "ab-" * 50_000 + "cd"), (5, "a" * 200_000 + "1"), (6, "deadbeef" * 40_000), (7, "x" + "0123456789abcdefghijklmn" * 20_000)]
+    began = time.time()
+    got = {x.doc_id: x.spans for x in S.scan(documents(rows)).collect()}
+    assert time.time() - began < 120
+    assert [(x.kind, x.start, x.end) for x in got[1]] == [("entropy", 0, 1_000_002)]
+    assert [(x.start, x.rank, x.kind, x.end) for x in got[2]] == brute(many)
+    assert not got[3] and not got[4] and not got[5] and [(x.kind, x.end) for x in got[6]] == [("hex", 320_000)]
