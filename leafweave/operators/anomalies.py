@@ -82,9 +82,10 @@ def word_count_anomaly(chapters: DataFrame) -> DataFrame:
     w = W.partitionBy("book")
     upto = different.select("book", "n", F.sum("c").over(w).alias("chapters"), F.sum("c").over(w.orderBy("n")).alias("upto"))
     medians = upto.where("chapters >= 3 AND upto > floor(chapters / 2)").groupBy("book").agg(F.min("n").alias("median"))
-    found = counted.join(medians, "book")
-    short = _shaped(found.where("n BETWEEN 1 AND 49"), "word_count_anomaly", F.lit("MEDIUM"), chapter=F.col("chapter"), count=F.col("n"), median=F.col("median"))
-    return short.unionByName(_shaped(found.where("median > 0 AND n > 10 * median"), "word_count_anomaly", F.lit("HIGH"), chapter=F.col("chapter"), count=F.col("n"), median=F.col("median")))
+    short, long = F.col("n").between(1, 49), (F.col("median") > 0) & (F.col("n") > 10 * F.col("median"))
+    severities = F.filter(F.array(F.when(short, "MEDIUM"), F.when(long, "HIGH")), lambda s: s.isNotNull())
+    found = counted.join(medians, "book").where(short | long).withColumn("severity", F.explode(severities))
+    return _shaped(found, "word_count_anomaly", F.col("severity"), chapter=F.col("chapter"), count=F.col("n"), median=F.col("median"))
 
 
 def duplicate_text(chapters: DataFrame, window: int = 20) -> DataFrame:
@@ -92,7 +93,8 @@ def duplicate_text(chapters: DataFrame, window: int = 20) -> DataFrame:
 
     Shingles are compared by 64-bit hashes of their words' hashes. Chapters with the same set of shingles stand for each other: they
     are collapsed to one before pairs are made and pairs of sets expanded by their chapters at the end, so a text
-    copied often costs one set's pairs and only the answer's own size."""
+    copied often costs one set's pairs and only the answer's own size; and a passage that many share costs each pair of
+    them one row, however long it is. Passages are told apart by their sets' number and two hashes over them."""
     words = chapters.select("book", "chapter", F.transform(T.words(F.lower("text")), lambda w: F.xxhash64(w)).alias("h"))
     # The words' hashes are bound to a variable: predicates that are pushed down would else work them out for each window.
     run = F.expr(f"element_at(transform(array(h), w -> CASE WHEN size(w) >= {window} THEN transform(sequence(1, size(w) - {window - 1}), i -> xxhash64(slice(w, i, {window}))) END), 1)")
@@ -100,7 +102,11 @@ def duplicate_text(chapters: DataFrame, window: int = 20) -> DataFrame:
     sets = sets.withColumn("set", F.sha2(F.to_json("shingles"), 256))
     one = sets.groupBy("book", "set").agg(F.min("chapter").alias("rep"), F.count("*").alias("copies"))
     rows = sets.join(one.select("book", "set", "rep"), ["book", "set"]).where("chapter = rep").select("book", "set", F.explode("shingles").alias("s"))
-    shared = rows.alias("x").join(rows.alias("y"), ["book", "s"]).where("x.set < y.set").groupBy("book", F.col("x.set").alias("one"), F.col("y.set").alias("two")).agg(F.count("*").alias("count")).where("count > 3")
+    # Shingles that the same sets have (those of one shared passage) are counted as one of them, so many times.
+    where = rows.groupBy("book", "s").agg(F.count("*").alias("n"), F.sum(F.crc32("set")).alias("h1"), F.bit_xor(F.xxhash64("set")).alias("h2")).where("n > 1")
+    passages = where.groupBy("book", "n", "h1", "h2").agg(F.min("s").alias("s"), F.count("*").alias("times")).select("book", "s", "times")
+    rows = rows.join(passages, ["book", "s"])
+    shared = rows.alias("x").join(rows.select("book", "s", "set").alias("y"), ["book", "s"]).where("x.set < y.set").groupBy("book", F.col("x.set").alias("one"), F.col("y.set").alias("two")).agg(F.sum("times").alias("count")).where("count > 3")
     own = sets.select("book", F.col("set").alias("one"), F.col("set").alias("two"), F.size("shingles").cast("long").alias("count"), "chapter").join(one.where("copies > 1").select("book", F.col("set").alias("one")), ["book", "one"]).where("count > 3").select("book", "one", "two", "count").distinct()
     member = sets.select("book", "set", "chapter")
     pairs = shared.unionByName(own).join(member.select("book", F.col("set").alias("one"), F.col("chapter").alias("i")), ["book", "one"]).join(member.select("book", F.col("set").alias("two"), F.col("chapter").alias("j")), ["book", "two"])

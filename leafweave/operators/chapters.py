@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafweave.functions import text as T
+from leafweave.operators.ranges import running
 from leafweave.operators.structure import back_title
 
 
@@ -77,15 +78,15 @@ def built(pages: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def word_boundaries(chapters: DataFrame, count: str = "word_count", order: str = "chapter") -> DataFrame:
-    """chapters with start_word_index and end_word_index, the words of a book counted on."""
-    before = W.partitionBy("book").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long")
-    return chapters.withColumn("start_word_index", start).withColumn("end_word_index", (F.col("start_word_index") + F.col(count)).cast("long"))
+    """chapters with start_word_index and end_word_index, the words of a book counted on, by ranges of its chapters."""
+    out = running(chapters, ["book"], [order], start_word_index=F.col(count))
+    return out.withColumn("end_word_index", (F.col("start_word_index") + F.col(count)).cast("long"))
 
 
 def contents_table(chapters: DataFrame) -> DataFrame:
     """book, title, word_index, chapter_index."""
-    return chapters.select("book", F.coalesce("title", F.lit("Untitled")).alias("title"), F.col("start_word_index").alias("word_index"), (F.row_number().over(W.partitionBy("book").orderBy("chapter_idx")) - 1).alias("chapter_index"))
+    df = running(chapters.select("book", "chapter_idx", "title", "start_word_index"), ["book"], ["chapter_idx"], chapter_index=F.lit(1))
+    return df.select("book", F.coalesce("title", F.lit("Untitled")).alias("title"), F.col("start_word_index").alias("word_index"), "chapter_index")
 
 
 def metadata(chapters: DataFrame, source: str = "native", version: str = "1.0") -> DataFrame:

@@ -72,7 +72,7 @@ def footnote_separation(predicted: DataFrame, native: DataFrame) -> DataFrame:
     whole = native.groupBy("book").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(start_page, text))), x -> x.text)"), "\n").alias("whole"))
     refs = predicted.select("book", F.explode("footnote_references").alias("r")).select("book", "r.number", "r.nearText").where(F.length("nearText") >= 5)
     context = F.get(F.filter(F.split(F.regexp_replace("nearText", r"[¹²³⁴⁵⁶⁷⁸⁹⁰\d]", ""), r"\s+"), lambda w: F.length(w) > 3), F.lit(0))
-    refs = refs.join(whole, "book", "left").withColumn("at", F.locate(F.lit("\0"), F.lit(""))).withColumn("word", F.lower(context))
+    refs = refs.join(whole, "book", "left").withColumn("word", F.lower(context))
     refs = refs.withColumn("at", F.expr("CASE WHEN word IS NULL THEN 0 ELSE locate(word, lower(whole)) END"))
     near = F.expr("substring(whole, greatest(at - 50, 1), least(at - 1, 50) + 100)")
     n = F.regexp_replace("number", r"([^\w\s])", r"\\$1")

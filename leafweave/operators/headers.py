@@ -20,10 +20,11 @@ def candidates(pages: DataFrame, breaks: str = "\n\n") -> DataFrame:
     n = pages.groupBy("book").agg(F.count("*").alias("pages")).where(F.col("pages") > LEAST_PAGES).select("book")
     some = pages.join(n, "book", "left_semi").select("book", "page_idx", F.posexplode(F.split(F.trim("text"), breaks)).alias("nth", "p")).withColumn("p", F.trim("p"))
     short = some.where(T.short_phrase("p")).select("book", T.header_text("p").alias("header")).where(F.length("header") >= 5)
-    words = F.filter(F.split("p", r"\s+"), lambda w: w != "")
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("w") - 1, F.lit(11)))), lambda j: F.get("w", j).rlike(r"^\d{1,4}$") & (j < F.size("w") - 1)))
-    long = some.where("nth = 0 AND length(p) > 70").withColumn("w", words).where(F.size("w") > 1).withColumn("at", at).where("at IS NOT NULL")
-    titles = long.select("book", F.array_join(F.slice("w", F.lit(1), F.col("at")), " ").alias("header")).where(F.length("header").between(5, 59) & T.short_phrase("header"))
+    # Fourteen parts tell of the first eleven words whether others follow; they are bound to a variable, so that the
+    # filters that are pushed down do not split a paragraph again for each.
+    first = r"array_min(filter(sequence(1, greatest(1, least(size(w) - 1, 11))), j -> regexp_like(get(w, j), '^[0-9]{1,4}$') AND j < size(w) - 1))"
+    title = F.expr(rf"get(transform(array(filter(split(p, '\\s+', 14), x -> x <> '')), w -> array_join(slice(w, 1, coalesce({first}, 0)), ' ')), 0)")
+    titles = some.where("nth = 0 AND length(p) > 70").select("book", title.alias("header")).where(F.length("header").between(5, 59) & T.short_phrase("header"))
     return short.unionAll(titles).groupBy("book", "header").agg(F.count("*").alias("count"))
 
 

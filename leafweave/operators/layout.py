@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafweave.operators.ranges import running
 
 PAGE = ("book", "page")
 COLUMN = ("book", "page", "col")
@@ -161,8 +162,8 @@ def with_continuations(pages: DataFrame) -> DataFrame:
 
 
 def numbered(pages: DataFrame) -> DataFrame:
-    """pages with page_idx, the place among a book's logical pages."""
-    return pages.withColumn("page_idx", F.row_number().over(W.partitionBy("book").orderBy("page", "col")) - 1)
+    """pages with page_idx, the place among a book's logical pages, counted by ranges of pages."""
+    return running(pages, ["book"], ["page", "col"], page_idx=F.lit(1)).withColumn("page_idx", F.col("page_idx").cast("int"))
 
 
 def without_references(text: Column, numbers: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from leafweave.functions import text as T
 from leafweave.operators import anomalies, annotations, chapters, evaluate, footnotes, headers, html, layout, structure
-from leafweave.plans import sql
-from leafweave.plans.views import all_lines
+from leafweave.plans import sql, structured
 from leafweave.plans.views import chapters as chapters_of
 from leafweave.plans.views import lines as lines_of
 from leafweave.plans.views import turns as turns_of
@@ -23,12 +22,6 @@ def query(f):
     return f
 
 
-def query_of_lines(f):
-    """f over the texts that its SQL reads, and as f_whole over all."""
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, all_lines)
-    return query(f)
-
-
 @query
 def word_boundaries(spark: SparkSession, d: str) -> DataFrame:
     c = chapters_of(spark, d).select("book", "chapter", T.token_count("text").alias("word_count"))
@@ -104,8 +97,9 @@ def title_garbling(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def image_shapes(spark: SparkSession, d: str) -> DataFrame:
-    c = tables.read(spark, d, "events").select(F.col("event_type").alias("book"), (F.col("user_id") % 2).cast("int").alias("width"), F.lit(7).alias("height"))
-    return anomalies.image_shapes(c.where("width = 0").unionByName(c.where("book = 'click'"))).select("book", "text", "count")
+    """Events as images: those of a type are as wide as its name is long, but clicks as their users' numbers."""
+    c = tables.read(spark, d, "events").select(F.col("event_type").alias("book"), F.when(F.col("event_type") == "click", F.col("user_id")).otherwise(F.length("event_type")).cast("int").alias("width"), F.lit(7).alias("height"))
+    return anomalies.image_shapes(c).select("book", "text", "count")
 
 
 @query
@@ -133,35 +127,32 @@ def block_html(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    p = chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), F.substring("text", 1, 10).alias("text"))
-    return structure.page_chunks(p).select("book", "chunk", "title", "first_page", "last_page", F.length("text").alias("chars"))
-
-
-@query
-def page_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As page_chunks, over whole texts."""
     return structure.page_chunk_totals(chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), "text"))
 
 
 @query
 def chapter_rollup(spark: SparkSession, d: str) -> DataFrame:
-    t = annotations.chapter_of(turns_of(spark, d))
-    out = t.groupBy("book", "chapter_start").agg(F.first("chapter_title").alias("title"), F.count("*").alias("pages"), F.sum(T.word_count("text")).alias("words"), F.array_join(F.expr("transform(array_sort(collect_list(struct(page, text))), x -> x.text)"), "\n\n").alias("body"))
-    return out.select("book", "chapter_start", "title", "pages", "words", F.md5(F.col("body").cast("binary")).alias("body"))
+    """Turns as annotated pages of one body region each."""
+    t = turns_of(spark, d)
+    region = F.struct(F.lit("body").alias("type"), F.lit(0).alias("readingOrder"), F.col("text").alias("text"), F.lit("full").alias("column"), F.lit(1.0).alias("confidence"))
+    a = t.select("book", "page", F.col("is_start").alias("isChapterStart"), F.col("title").alias("chapterTitle"), F.array(region).alias("regions"), *(v.alias(c) for c, v in annotations.fallback().items() if c not in ("isChapterStart", "chapterTitle", "regions")))
+    return annotations.rolled_up(a).select("book", "start_page", "title", "ws_word_count", F.size("paragraphs").cast("long").alias("paragraphs"), F.md5(F.col("plain_text").cast("binary")).alias("text"), "is_back_matter")
 
 
 @query
 def boundary_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters that begin with a user's turn against those that begin with a turn of several lines."""
     t = turns_of(spark, d)
     p = t.where("is_start").select("book", F.col("page").alias("start_page"))
-    n = t.where("page % 3 = 0").select("book", F.col("page").alias("start_page"))
+    n = t.where(F.contains("text", F.lit("\n"))).select("book", F.col("page").alias("start_page"))
     return evaluate.chapter_boundaries(p, n).select("book", F.round("score", 6).alias("score"))
 
 
 @query
 def completeness(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts against the same without their last line."""
     c = chapters_of(spark, d)
-    return evaluate.body_text_completeness(c, c.where("chapter % 2 = 0")).select("book", F.round("score", 6).alias("score"))
+    return evaluate.body_text_completeness(c, c.withColumn("text", F.regexp_replace("text", r"\n[^\n]*\z", ""))).select("book", F.round("score", 6).alias("score"))
 
 
 @query
@@ -181,73 +172,69 @@ def header_clean(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.running_header_clean(a, c).select("book", F.round("score", 6).alias("score"))
 
 
-@query_of_lines
-def font_mode_median(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    df = view(spark, d).withColumn("bucket", F.round(F.col("font_size") * 10).cast("int"))
+@query
+def font_mode_median(spark: SparkSession, d: str) -> DataFrame:
+    df = lines_of(spark, d).withColumn("bucket", F.round(F.col("font_size") * 10).cast("int"))
     mode = df.groupBy("book", "page", "bucket").agg(F.count("*").alias("c")).groupBy("book", "page").agg(F.max_by("bucket", F.struct("c", "bucket")).alias("mode"))
     return mode.join(df.groupBy("book", "page").agg(F.median("width").alias("width"), F.var_pop("font_size").alias("variance")), ["book", "page"]).select("book", "page", "mode", F.round("width", 6).alias("width"), F.round("variance", 6).alias("variance"))
 
 
 @query
 def paragraphs_from_lines(spark: SparkSession, d: str) -> DataFrame:
-    out = layout.paragraphs(all_lines(spark, d).withColumn("col", F.lit(0)))
+    out = layout.paragraphs(lines_of(spark, d).withColumn("col", F.lit(0)))
     return out.select("book", "page", "par", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query_of_lines
-def column_split(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    both = view(spark, d, "wide").unionByName(view(spark, d).withColumn("page", -F.col("page") - 1))
+@query
+def column_split(spark: SparkSession, d: str) -> DataFrame:
+    both = lines_of(spark, d, "wide").unionByName(lines_of(spark, d).withColumn("page", -F.col("page") - 1))
     return layout.columns_split(both).groupBy("page", "col").agg(F.count("*").alias("lines"), F.min("line_no").alias("first"))
 
 
-@query_of_lines
-def page_numbers_stripped(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    df = view(spark, d).withColumn("text", F.when((F.col("line_no") < 2) | (F.col("line_no") % 7 > 4), F.col("line_no").cast("string")).otherwise(F.col("text"))).withColumn("col", F.lit(0))
+@query
+def page_numbers_stripped(spark: SparkSession, d: str) -> DataFrame:
+    df = lines_of(spark, d).withColumn("text", F.when((F.col("line_no") < 2) | (F.col("line_no") % 7 > 4), F.col("line_no").cast("string")).otherwise(F.col("text"))).withColumn("col", F.lit(0))
     return layout.page_numbers_stripped(df).groupBy("page").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("lines"))
 
 
-@query_of_lines
-def superscript_merge(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    out = layout.superscripts_joined(view(spark, d, "marks"))
+@query
+def superscript_merge(spark: SparkSession, d: str) -> DataFrame:
+    out = layout.superscripts_joined(lines_of(spark, d, "marks"))
     return out.select("page", "line_no", F.md5(F.col("text").cast("binary")).alias("text"), F.round("max_x", 3).alias("max_x"))
 
 
-@query_of_lines
-def footnotes_split(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    out = footnotes.starts(view(spark, d).withColumn("col", F.lit(0)))
+@query
+def footnotes_split(spark: SparkSession, d: str) -> DataFrame:
+    out = footnotes.starts(lines_of(spark, d).withColumn("col", F.lit(0)))
     return out.where("i = 0").select("page", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), F.col("strategy").cast("long").alias("strategy"))
 
 
-@query_of_lines
-def footnotes_parsed(spark: SparkSession, d: str, view=lines_of) -> DataFrame:
-    _, notes = footnotes.separated(view(spark, d).withColumn("col", F.lit(0)))
+@query
+def footnotes_parsed(spark: SparkSession, d: str) -> DataFrame:
+    _, notes = footnotes.separated(lines_of(spark, d).withColumn("col", F.lit(0)))
     return notes.select("page", F.posexplode("footnotes").alias("k", "f")).select("page", "k", F.col("f.number").alias("number"), F.md5(F.col("f.text").cast("binary")).alias("text"))
 
 
 @query
 def calibration_interp(spark: SparkSession, d: str) -> DataFrame:
-    points = structure.calibrated(spark.sql("SELECT * FROM VALUES ('a', 3, 1), ('a', 10, 20), ('a', 15, 18), ('a', 20, 40), ('b', 5, 7), ('c', 9, 2) AS t(book, toc, pdf)"))
-    wanted = spark.sql("SELECT book, toc FROM VALUES ('a'), ('b'), ('c') AS b(book), VALUES (1), (10), (13), (15), (20), (30) AS t(toc)")
-    return structure.interpolated(wanted, points).select("book", "toc", "pdf")
+    """Turns of users as entries that are found (some out of order), all turns as pages that are looked for."""
+    t = turns_of(spark, d).select("book", F.col("page").alias("toc"), "is_start", F.length("text").alias("n")).where("n IS NOT NULL")
+    points = structure.calibrated(t.where("is_start").select("book", "toc", (3 * F.col("toc") + F.col("n") % 5 - 1).cast("int").alias("pdf")))
+    return structure.interpolated(t.select("book", "toc"), points).select("book", "toc", "pdf")
 
 
 @query
 def dice_similarity(spark: SparkSession, d: str) -> DataFrame:
-    b = tables.read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("text"))
-    pairs = b.alias("a").join(b.alias("b"), (F.col("b.item_id") - F.col("a.item_id")).between(1, 5))
-    return pairs.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), F.round(T.dice("a.text", "b.text"), 6).alias("dice"))
-
-
-@query
-def dice_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As dice_similarity, of every two whole texts."""
+    """Of every two benchmark texts, whole."""
     return evaluate.dice_pairs(tables.read(spark, d, "benchmark")).withColumn("dice", F.round("dice", 6))
 
 
 @query
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    p = tables.read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
-    return p.alias("a").join(p.alias("b"), F.col("b.page_id") == F.col("a.page_id") + 1).select(F.col("a.page_id").alias("page_id"), F.round(T.title_match("a.title", "b.title"), 6).alias("match"))
+    """The title of each page against its heading."""
+    of = lambda tag: F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
+    p = tables.read(spark, d, "pages").select("page_id", of("title").alias("title"), of("footer").alias("footer"), of("h1").alias("heading"))
+    return p.select("page_id", F.round(T.title_match("title", "heading"), 6).alias("heading"), F.round(T.title_match("title", "footer"), 6).alias("footer"))
 
 
 @query
@@ -260,14 +247,14 @@ def header_candidates(spark: SparkSession, d: str) -> DataFrame:
 def header_strip(spark: SparkSession, d: str) -> DataFrame:
     p = chapters_of(spark, d).select("book", F.col("chapter").alias("page_idx"), "text")
     out = headers.stripped(p, headers.running_headers(p, "\n"), "\n")
-    return out.select("page_idx", F.length("text").alias("chars"))
+    return out.select("page_idx", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
     c = chapters_of(spark, d)
     now = evaluate.ocr_quality(c).select("book", F.lit("ocr_quality").alias("dimension"), "score")
-    then = evaluate.ocr_quality(c.where("chapter % 3 = 0")).select("book", F.lit("ocr_quality").alias("dimension"), "score")
+    then = evaluate.ocr_quality(c.withColumn("text", F.regexp_replace("text", r"\n[^\n]*\z", ""))).select("book", F.lit("ocr_quality").alias("dimension"), "score")
     return evaluate.gate(now, then).select("book", "dimension", F.round("delta", 6).alias("delta"), "status")
 
 
@@ -287,9 +274,9 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def triage_merge(spark: SparkSession, d: str) -> DataFrame:
-    t = turns_of(spark, d).select("book", "page", F.when(F.col("is_start"), "two_column").otherwise("single_column").alias("layout"), F.substring("text", 1, 9).alias("chapterTitle"))
-    detail = t.where("page % 2 = 0").select("book", "page", "layout", F.upper("chapterTitle").alias("chapterTitle"))
-    return annotations.merged(t, detail)
+    t = turns_of(spark, d).select("book", "page", F.when(F.col("is_start"), "two_column").otherwise("single_column").alias("layout"), F.col("text").alias("chapterTitle"))
+    detail = t.where("layout = 'two_column'").select("book", "page", "layout", F.concat(F.lit("!"), "chapterTitle").alias("chapterTitle"))
+    return annotations.merged(t, detail).select("book", "page", "layout", F.md5(F.col("chapterTitle").cast("binary")).alias("title"))
 
 
 @query
@@ -299,8 +286,9 @@ def ocr_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.range(1, 61).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", T.int_to_roman("n").alias("roman"), T.roman_to_int(T.int_to_roman("n")).alias("back"))
+    """Lengths of texts, up to 3999, as numerals; and back, where no numeral is above C."""
+    n = tables.read(spark, d, "documents").select("doc_id", (F.col("n_chars") % 3999 + 1).cast("int").alias("n"))
+    return n.select("doc_id", "n", T.int_to_roman("n").alias("roman"), T.roman_to_int(T.int_to_roman(F.col("n") % 400)).alias("back"))
 
 
 @query
@@ -322,14 +310,14 @@ def images_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def logical_pages(spark: SparkSession, d: str) -> DataFrame:
-    out = layout.logical_pages(all_lines(spark, d))
-    return out.select("book", "page", "col", "page_idx", F.length("text").alias("chars"), F.size("footnotes").alias("notes"))
+    out = layout.logical_pages(lines_of(spark, d))
+    return out.select("book", "page", "col", "page_idx", F.md5(F.col("text").cast("binary")).alias("text"), F.size("footnotes").alias("notes"))
 
 
 @query
 def rendered_html(spark: SparkSession, d: str) -> DataFrame:
-    c = all_lines(spark, d).groupBy("book", F.col("page").alias("chapter")).agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)"), "\n\n").alias("text"))
-    return html.rendered(c).select("book", "chapter", F.length("html").alias("chars"), F.contains("html", F.lit("transposed-endnotes")).alias("notes"))
+    c = lines_of(spark, d).groupBy("book", F.col("page").alias("chapter")).agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)"), "\n\n").alias("text"))
+    return html.rendered(c).select("book", "chapter", F.md5(F.col("html").cast("binary")).alias("html"), F.contains("html", F.lit("transposed-endnotes")).alias("notes"))
 
 
 @query
@@ -340,8 +328,8 @@ def top_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **structured.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.SQL)
+    return {**sql.SQL, **structured.SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, worked out once and written to the session's checkpoint folder, for what is read several times. On a cluster
+    spark.checkpoint.dir must name a shared folder; a local session without it gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file, with the name of its folder as book."""
     df = spark.read.schema(schema).json(path, multiLine=True)

@@ -185,7 +185,7 @@ def test_whole_page_chunks(spark, tmp_path):
 
     texts = [(i, f"text {i} " * (i % 7) * 9, f"s{i % 2 if i < 46 else 2}") for i in range(49)]
     spark.createDataFrame([(i, t or None, s, "en") for i, t, s in texts], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(x.book, x.chunk): (x.title, x.first_page, x.last_page, x.chars, x.digest) for x in registry.queries()["page_chunks_whole"](spark, str(tmp_path)).collect()}
+    got = {(x.book, x.chunk): (x.title, x.first_page, x.last_page, x.chars, x.digest) for x in registry.queries()["page_chunks"](spark, str(tmp_path)).collect()}
     want = {}
     for book in ("s0", "s1", "s2"):
         pages = [t for _, t, s in texts if s == book]
@@ -213,7 +213,7 @@ def test_dice_of_all_whole_texts(spark, tmp_path):
         x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) if len(t) > 1 else Counter([t]) for t in (a, b))
         return 1.0 if a == b else 2 * (x & y).total() / (x.total() + y.total())
 
-    got = {(x.one, x.two): x.dice for x in registry.queries()["dice_similarity_whole"](spark, str(tmp_path)).collect()}
+    got = {(x.one, x.two): x.dice for x in registry.queries()["dice_similarity"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): pytest.approx(brute(texts[i], texts[j]), abs=1e-6) if texts[i] is not None and texts[j] is not None else None for i in texts for j in texts if i < j}
     assert got[40, 90] == 1.0 and got[40, 91] < 1.0
 
@@ -224,14 +224,14 @@ def test_line_queries_read_short_texts(spark, tmp_path):
     texts = [(0, "one line alone"), (1, "12\nBody of two lines"), (2, "4\nFirst line of it\nSecond line of it\n5"), (3, "\n".join(f"Line {i} of seven" for i in range(7))), (4, "\n".join(f"Line {i} of nine" for i in range(9))), (5, " \n ")]
     spark.createDataFrame([(i, t, "s", "en") for i, t in texts], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     q = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    seen = views.all_lines(spark, str(tmp_path)).groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("font_size") < 10).alias("notes")).collect()
+    seen = views.lines(spark, str(tmp_path)).groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("font_size") < 10).alias("notes")).collect()
     assert {x.page: (x.n, x.notes) for x in seen} == {0: (1, 0), 1: (2, 0), 2: (4, 0), 3: (7, 0), 4: (9, 3)}
-    for name in ("font_mode_median_whole", "paragraphs_from_lines", "superscript_merge_whole", "footnotes_split_whole", "logical_pages"):
+    for name in ("font_mode_median", "paragraphs_from_lines", "superscript_merge", "footnotes_split", "logical_pages"):
         assert {x.page for x in q(name)} == {0, 1, 2, 3, 4}, name
     assert {x.chapter for x in q("rendered_html")} == {0, 1, 2, 3, 4}
-    assert {x.page for x in q("column_split_whole")} == {0, 1, 2, 3, 4, -1, -2, -3, -4, -5}
-    assert {x.page for x in q("footnotes_parsed_whole")} == {4} and {x.page for x in q("footnotes_split")} == {4}
-    stripped = {x.page: (x.first, x.last, x.lines) for x in q("page_numbers_stripped_whole")}
+    assert {x.page for x in q("column_split")} == {0, 1, 2, 3, 4, -1, -2, -3, -4, -5}
+    assert {x.page for x in q("footnotes_parsed")} == {4} and {x.page for x in q("footnotes_split") if x.start is not None} == {4}
+    stripped = {x.page: (x.first, x.last, x.lines) for x in q("page_numbers_stripped")}
     assert stripped[0] == (0, 0, 1) and stripped[1] == (0, 1, 2) and stripped[2] == (1, 3, 3) and stripped[3] == (2, 4, 3)
 
 
@@ -239,3 +239,20 @@ def test_entry_without_llm(spark):
     import __spark_entry__
 
     assert "word_boundaries" in __spark_entry__.queries() and "word_boundaries" in __spark_entry__.oracle_sql()
+
+
+def test_running_sums_by_ranges(spark):
+    import random
+
+    from leafweave.operators.ranges import running
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "book string, page int, n int").repartition(7)
+    got = {(x.book, x.page): (x.words, x.place) for x in running(df, ["book"], ["page"], words=F.col("n"), place=F.lit(1)).collect()}
+    want, seen = {}, {}
+    for b, p, n in sorted(rows, key=lambda x: x[1]):
+        words, place = seen.get(b, (0, 0))
+        want[b, p], seen[b] = (words, place), (words + n, place + 1)
+    assert got == want
+    assert running(df.where("page < 0"), ["book"], ["page"], words=F.col("n")).collect() == []

@@ -28,7 +28,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - {"duplicate_text"}))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     got = registry.queries()[name](spark, DATA)
     cur = duck.execute(registry.oracle_sql()[name])
