@@ -50,7 +50,7 @@ def test_very_long_strings_and_many_of_them(documents):
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz09"  # none of the allowed runs
     run = "".join(r.choices(alphabet, k=1_000_000)) + "1a"
     many = " ".join("".join(r.choices(alphabet, k=22)) + f" token=abcdefg{i % 10}" for i in range(4000))
-    rows = [(1, run), (2, many), (3, "/ab" * 100_000), (4, "ab-" * 50_000 + "cd"), (5, "a" * 200_000 + "1"), (6, "deadbeef" * 40_000), (7, "x" + "0123456789abcdefghijklmn" * 20_000)]
+    rows = [(1, run), (2, many), (3, "/ab" * 100_000), (4, "ab-" * 50_000 + "cd"), (5, "z" * 200_000 + "1"), (6, "deadbeef" * 40_000), (7, "x" + "0123456789abcdefghijklmn" * 20_000)]
     began = time.time()
     got = {x.doc_id: x.spans for x in S.scan(documents(rows)).collect()}
     assert time.time() - began < 120
