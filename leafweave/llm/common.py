@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch on its way to Python, so that long rows make short batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _scratch = threading.local()
 
@@ -101,9 +103,15 @@ _held: dict[Hashable, Any] = {}
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps between tasks: one thing, so that the caches of one operator go when another starts."""
+    """What a Python worker keeps between tasks: one thing, so that the caches of one operator go when another starts, and
+    their memory goes back to the system."""
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         _held[key] = make()
     return _held[key]
 
@@ -113,7 +121,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) for runs of rows of about `most` bytes, so that what a task holds beside its Arrow batch
     is bounded by that and the longest single text."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
