@@ -117,6 +117,26 @@ def annotate(pages: DataFrame, infer, schema: str) -> DataFrame:
     return pages.mapInArrow(infer, schema)
 
 
+def answered(requests: DataFrame, model, id_col: str = "id", prompt_col: str = "prompt") -> DataFrame:
+    """id_col, text and error of each request. model: a function of no arguments that sets up a worker's model and gives a
+    function from a prompt to an answer. A request that fails gets its error in place of a text; the others go on."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        infer = model()
+        for b in batches:
+            texts, errors = [], []
+            for prompt in b.column(1).to_pylist():
+                try:
+                    text, error = infer(prompt), None
+                except Exception as e:  # what one request raises is its own record
+                    text, error = None, f"{type(e).__name__}: {e}"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[id_col, "text", "error"])
+
+    return requests.select(id_col, prompt_col).mapInArrow(ask, f"`{id_col}` {requests.schema[id_col].dataType.simpleString()}, text string, error string")
+
+
 def chapter_of(pages: DataFrame) -> DataFrame:
     """pages (book, page, is_start, title, ...) -> with chapter_start and chapter_title. Pages before a book's first start
     go; a book without any is one chapter, `Full Text`, from its first page on."""

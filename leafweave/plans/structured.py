@@ -5,6 +5,8 @@ from the turns, so that the twins can say what has to be found."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -341,3 +343,40 @@ def annotation_fallback(spark: SparkSession, d: str) -> DataFrame:
     filled = annotations.with_fallback(t, a).join(t.select("book", "page", "several"), ["book", "page"])
     filled = filled.withColumn("layout", F.when(F.col("several"), F.lit("two_column")).otherwise(F.col("layout")))
     return filled.select("book", "page", annotations.interesting().alias("again"), F.col("_skipped").alias("skipped"))
+
+
+@query("""WITH s AS (SELECT source AS book, least(1.0, count(*) / 1000) AS a, least(1.0, avg(length(coalesce(text, ''))) / 5000) AS b FROM documents GROUP BY source), l AS (
+SELECT book, 'chapter_titles' AS dimension, a AS score, 0.13 AS w FROM s UNION ALL SELECT book, 'ocr_quality', b, 0.10 FROM s UNION ALL SELECT book, 'reading_order', 1.0, 0.09 FROM s)
+SELECT book, dimension, '  ' || CASE WHEN score >= 0.8 THEN 'PASS' ELSE 'FAIL' END || ' ' || rpad(dimension, 24, ' ') || ' ' || printf('%6.2f', score * 100) || '% (weight ' || printf('%.2f', w) || ')' AS line FROM l""")
+def fidelity_report(spark: SparkSession, d: str) -> DataFrame:
+    s = chapters_of(spark, d).groupBy("book").agg(F.least(F.lit(1.0), F.count("*") / 1000).alias("a"), F.least(F.lit(1.0), F.avg(F.length("text")) / 5000).alias("b"))
+    long = s.select("book", F.explode(F.create_map(F.lit("chapter_titles"), F.col("a"), F.lit("ocr_quality"), F.col("b"), F.lit("reading_order"), F.lit(1.0))).alias("dimension", "score"))
+    return evaluate.report(evaluate.weighted(long))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS book, md5(coalesce(source, '')) AS pdf_hash, CAST(n_chars % 3 * 100 AS INT) AS dpi FROM documents WHERE n_chars % 3 * 100 = 200 AND source = lower(source)")
+def pages_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as books at three resolutions, whose manifests are all of one, with the hashes of their sources in small letters."""
+    df = tables.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book"), F.coalesce("source", F.lit("")).alias("s"), (F.col("n_chars") % 3 * 100).cast("int").alias("dpi"))
+    manifests = df.select("book", F.md5(F.lower("s").cast("binary")).alias("pdf_hash"), F.lit(200).alias("dpi"))
+    return tables.pages_rendered(manifests, df.select("book", F.md5(F.col("s").cast("binary")).alias("pdf_hash"), "dpi"))
+
+
+@query(f"""WITH {TALK} SELECT book, 'Extracted ' || count(*) || ' chapters, ' || CAST(sum({WORDS}) AS BIGINT) || ' words' AS line FROM talk GROUP BY book""")
+def book_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return tables.summary(talk(spark, d).select("book", T.word_count("text").alias("ws_word_count")))
+
+
+@query(f"""WITH {TALK} SELECT book || '-' || page AS id, CASE WHEN several THEN NULL ELSE md5(text) END AS text, CASE WHEN several THEN 'ValueError: several lines' END AS error FROM talk""")
+def requests_answered(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as requests of a model that refuses those of several lines."""
+
+    def model():
+        def infer(prompt: str) -> str:
+            if "\n" in prompt:
+                raise ValueError("several lines")
+            return hashlib.md5(prompt.encode()).hexdigest()
+
+        return infer
+
+    return annotations.answered(talk(spark, d).select(F.concat_ws("-", "book", "page").alias("id"), F.col("text").alias("prompt")), model)

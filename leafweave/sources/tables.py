@@ -82,3 +82,41 @@ def write_structure(chapters: DataFrame, path: str) -> None:
     body = F.to_json(F.struct(*(F.col(c) for c in sorted(chapters.columns) if c != "book")))
     rows = chapters.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chapter_idx", body.alias("j")))).alias("cs"))
     rows.select("book", F.concat(F.lit('{"chapters":['), F.array_join(F.transform("cs", lambda c: c["j"]), ","), F.lit("]}")).alias("value")).write.mode("overwrite").partitionBy("book").text(path)
+
+
+def summary(chapters: DataFrame) -> DataFrame:
+    """book, line: what a run tells of each book."""
+    counts = chapters.groupBy("book").agg(F.count("*").alias("n"), F.coalesce(F.sum("ws_word_count"), F.lit(0)).alias("words"))
+    return counts.select("book", F.format_string("Extracted %d chapters, %d words", "n", "words").alias("line"))
+
+
+def write_text(chapters: DataFrame, path: str) -> None:
+    """Plain text in a folder for each book: a row a chapter, its title before its text, in the order of chapters."""
+    rows = chapters.repartition("book").sortWithinPartitions("book", "chapter_idx")
+    rows.select("book", F.concat_ws("\n\n", "title", "plain_text", F.lit("")).alias("value")).write.mode("overwrite").partitionBy("book").text(path)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """JSON lines in a folder for each book: predicted chapters, scored dimensions or anomalies."""
+    rows.write.mode("overwrite").partitionBy("book").json(path)
+
+
+def any_high(anomalies: DataFrame) -> bool:
+    """Whether a run over these anomalies fails."""
+    return bool(anomalies.where("severity = 'HIGH'").head(1))
+
+
+def cache_append(annotations: DataFrame, path: str) -> None:
+    """Adds rows (key, annotation) to a cache of annotations; the time tells later rows of a key from earlier ones."""
+    annotations.select("key", F.to_json("annotation").alias("annotation"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def cache_read(spark: SparkSession, path: str) -> DataFrame:
+    """key, annotation: of each key the row that was added last."""
+    rows = spark.read.parquet(path).groupBy("key").agg(F.max_by("annotation", F.struct("at", "annotation")).alias("annotation"))
+    return rows.select("key", F.from_json("annotation", A.SCHEMA).alias("annotation"))
+
+
+def pages_rendered(manifests: DataFrame, books: DataFrame) -> DataFrame:
+    """The books (book, pdf_hash, dpi) whose manifest is of the same file at the same resolution."""
+    return books.join(manifests.select("book", "pdf_hash", "dpi").distinct(), ["book", "pdf_hash", "dpi"], "left_semi")

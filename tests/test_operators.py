@@ -83,7 +83,20 @@ def test_contents(spark):
     starts = structure.chapter_starts(df, outline)
     made = chapters.built(df.withColumn("footnotes", F.expr("cast(array() AS array<struct<number: int, text: string>>)")).withColumn("continuation", F.lit(None).cast("string")), starts).orderBy("start_page").collect()
     assert [(r.title, r.start_page, r.is_back_matter) for r in made][1:] == [("The beginning", 5, False), ("The middle of the long book", 12, False), ("The end", 23, False), ("INDEX", 26, True)]
-    assert structure.contents_entries(["CHAPTER IV.", "LEADERS,", "AND MEN. 15-39", "Synopsis", "CHAPTER V.", "WORK."]) == [(4, "LEADERS, AND MEN", None), (5, "WORK", None)]
+    books = {
+        "a": ["CHAPTER IV.", "LEADERS,", "AND MEN. 15-39", "Synopsis", "CHAPTER V.", "WORK."],
+        "b": ["1 First Things 7", "and more 8", "x", "not this", "2 Second .... I2", "0 Nought here", "INDEX 90"],
+        "c": ["Some words", "I. BEGINNINGS ... 3", "II. MIDDLES", "17", "III. ENDINGS", "and so on 44", "IV. AB", "nothing here"],
+        "d": ["CHAPTER ONE", "The Rise –", "ab", "and Fall 3-9", "CHAPTER", "Chapter two.", "\u201cWhat Now?\u201d 12"],
+        "e": [],
+    }
+    rows = [(b, 10 * k, x) for b, ls in books.items() for k, x in enumerate(ls)]
+    got = structure.parsed_contents(spark.createDataFrame(rows, "book string, seq long, line string")).orderBy("book", "seq").collect()
+    told = lambda b: [(x.num, x.title, x.page_num) for x in got if x.book == b]
+    assert told("a") == [(4, "LEADERS, AND MEN", None), (5, "WORK", None)]
+    assert told("b") == [(1, "First Things and more", 7), (2, "Second .... I2", 12)]
+    assert told("c") == [(1, "BEGINNINGS", 3), (2, "MIDDLES", 17), (3, "ENDINGS", 44)]
+    assert told("d") == [(1, "The Rise – and Fall", None), (2, "What Now", None)] and [x.seq for x in got if x.book == "d"] == [0, 1]
 
 
 def test_boundaries_and_titles(spark):
@@ -256,3 +269,46 @@ def test_running_sums_by_ranges(spark):
         want[b, p], seen[b] = (words, place), (words + n, place + 1)
     assert got == want
     assert running(df.where("page < 0"), ["book"], ["page"], words=F.col("n")).collect() == []
+
+
+def test_writers_and_cache(spark, tmp_path):
+    from leafweave.sources import tables
+
+    c = spark.createDataFrame([("a", 1, "Two", "second text", 2), ("a", 0, "One", "first", 1), ("b", 0, "Only", "x y z", 3)], "book string, chapter_idx int, title string, plain_text string, ws_word_count long")
+    assert {x.book: x.line for x in tables.summary(c).collect()} == {"a": "Extracted 2 chapters, 3 words", "b": "Extracted 1 chapters, 3 words"}
+    tables.write_text(c, f"{tmp_path}/text")
+    text = spark.read.text(f"{tmp_path}/text/book=a", wholetext=True).head()[0]
+    assert text.index("One") < text.index("first") < text.index("Two") < text.index("second text")
+    tables.write_rows(c, f"{tmp_path}/rows")
+    assert sorted(x.title for x in spark.read.json(f"{tmp_path}/rows").collect()) == ["One", "Only", "Two"]
+    tables.write_structure(c, f"{tmp_path}/structure")
+    one = spark.read.json(f"{tmp_path}/structure/book=a").head()
+    assert [x.title for x in one.chapters] == ["One", "Two"]
+    note = lambda k, n: spark.createDataFrame([(k, n)], "key string, n int").selectExpr("key", "named_struct('pageNumber', n, 'layout', 'single_column') AS annotation")
+    for k, n in (("k", 1), ("l", 2), ("k", 3)):
+        tables.cache_append(note(k, n), f"{tmp_path}/cache")
+    assert {x.key: x.annotation.pageNumber for x in tables.cache_read(spark, f"{tmp_path}/cache").collect()} == {"k": 3, "l": 2}
+    found = spark.createDataFrame([("a", "MEDIUM")], "book string, severity string")
+    assert not tables.any_high(found) and tables.any_high(found.union(spark.createDataFrame([("b", "HIGH")], found.schema)))
+
+
+def test_readers(spark, tmp_path):
+    import json
+
+    from leafweave.sources import tables
+
+    for book, n in (("x", 0.5), ("y", 1.0)):
+        (tmp_path / book).mkdir()
+        (tmp_path / book / "baseline.json").write_text(json.dumps({"book": book, "locked": "2026-01-01", "overall": n, "dimensions": {"ocr_quality": n / 2}}, indent=2))
+    (tmp_path / "x" / "native.json").write_text("{}")
+    got = {(r.book, r.dimension): r.score for r in tables.baselines(spark, f"{tmp_path}/*/baseline.json").collect()}
+    assert got == {("x", "overall"): 0.5, ("x", "ocr_quality"): 0.25, ("y", "overall"): 1.0, ("y", "ocr_quality"): 0.5}
+    assert {(f.book, f.length) for f in tables.files(spark, str(tmp_path), "native.json").collect()} == {("x", 2)}
+    assert [b.book for b in tables.corpus(spark, str(tmp_path), ("native.json", "baseline.json")).collect()] == ["x"]
+    assert sorted(p.page for p in tables.page_range("3-5,9, 4", spark).collect()) == [3, 4, 5, 9]
+    (tmp_path / "trees" / "z").mkdir(parents=True)
+    (tmp_path / "trees" / "z" / "t.json").write_text(json.dumps({"children": [{"block_type": "Page", "children": [{"block_type": "Text", "html": "<p>a</p>"}]}]}))
+    tree = tables.block_trees(spark, f"{tmp_path}/trees/*/t.json").head()
+    assert tree.book == "z" and tree.children[0].children[0].html == "<p>a</p>"
+    (tmp_path / "notes.jsonl").write_text(json.dumps({"book": "x", "pageNumber": 3, "layout": "two_column"}) + "\n")
+    assert [(a.book, a.pageNumber, a.regions) for a in tables.page_annotations(spark, f"{tmp_path}/notes.jsonl").collect()] == [("x", 3, None)]
