@@ -167,3 +167,27 @@ SQL["contents_table"] = f"""WITH {CHAPTERS}, c AS (SELECT book, chapter, coalesc
 SELECT book, title, CAST(coalesce(sum(n) OVER (PARTITION BY book ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS word_index, row_number() OVER (PARTITION BY book ORDER BY chapter) - 1 AS chapter_index FROM c"""
 SQL["book_totals"] = f"WITH {CHAPTERS} SELECT book, count(*) AS total_chapters, CAST(sum({TOKENS}) AS BIGINT) AS total_words FROM chapters GROUP BY book"
 SQL["images_distinct"] = "SELECT event_type AS book, min(event_id) AS page_idx, user_id % 50 + 3 * 31 + 4 * 97 AS key FROM events GROUP BY event_type, user_id % 50 + 3 * 31 + 4 * 97"
+ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+SQL["rendered_html"] = rf"""WITH {LINE_VIEW}, p AS (SELECT book, page, line_no, n, {ESCAPED} AS t, n >= 8 AND line_no >= n - 3 AS note FROM lines),
+h AS (SELECT book, page, string_agg('<p>' || t || '</p>', '' ORDER BY line_no) FILTER (NOT note) AS body,
+  string_agg('<p id="endnote-' || (line_no - (n - 4)) || '"><strong>' || (line_no - (n - 4)) || '</strong> ' || trim(regexp_replace(t, '^(\d{{1,4}})[.\s]', '')) || '</p>', '' ORDER BY line_no) FILTER (note) AS notes FROM p GROUP BY book, page)
+SELECT book, page AS chapter, md5(body || CASE WHEN notes IS NULL THEN '' ELSE '<section class="transposed-endnotes"><hr><h3>Notes</h3>' || notes || '</section>' END) AS html, notes IS NOT NULL AS notes FROM h"""
+
+
+def _paragraphs(rows: str, gap: str) -> str:
+    """CTEs that end in p(book, page, par, text) over rows of the line view, where gap says when a gap parts paragraphs."""
+    return rf"""g AS (SELECT *, 72.0::DOUBLE + CASE WHEN line_no % 5 = 0 THEN 18 ELSE 0 END AS x, lag(trim(text)) OVER o AS before, lag(width) OVER o AS before_width, y - lag(y) OVER o AS gap,
+  median(width) OVER w AS widths, median(72.0::DOUBLE + CASE WHEN line_no % 5 = 0 THEN 18 ELSE 0 END) OVER w AS left_ FROM {rows} WINDOW o AS (PARTITION BY page ORDER BY line_no), w AS (PARTITION BY page)),
+f AS (SELECT *, greatest(1.0, widths) AS ws, regexp_matches(trim(text), '^[\p{{Lu}}\p{{N}}"''\x{{201C}}\x{{2018}}]') AS starts, regexp_matches(before, '[.!?]["''\x{{201D}}\x{{2019}})\]]?$') AS ends, regexp_matches(before, '[,;:\x{{2014}}\-]["''\x{{201D}}\x{{2019}})\]]?$') AS goes_on,
+  length(before) BETWEEN 1 AND 90 AND NOT regexp_matches(before, '[/,;]') AND len(regexp_extract_all(before, '\S+')) BETWEEN 1 AND 10 AND before_width <= greatest(1.0, widths) * 0.68 AS headed FROM g),
+b AS (SELECT *, CAST(before IS NOT NULL AND (({gap} AND ends AND NOT goes_on) OR (x - left_ >= 9 AND starts AND ends) OR (before_width <= ws * 0.72 AND ends AND starts) OR (headed AND starts AND width >= ws * 0.65)) AS INT) AS cut FROM f),
+c AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY page ORDER BY line_no) AS BIGINT) AS par FROM b),
+p AS (SELECT book, page, par, trim(replace(regexp_replace(string_agg(text, chr(1) ORDER BY line_no), '([^ ])-' || chr(1), '\1', 'g'), chr(1), ' ')) AS text FROM c GROUP BY book, page, par)"""
+
+
+SQL["paragraphs_from_lines"] = f"WITH {LINE_VIEW}, {_paragraphs('lines', 'gap >= 14 * 1.6')} SELECT book, page, par, md5(text) AS text FROM p WHERE text <> ''"
+SQL["logical_pages"] = rf"""WITH {LINE_VIEW}, m AS (SELECT *, regexp_matches(trim(text), '^[\divxlcdmIVXLCDM]+$') AND length(trim(text)) <= 6 AS num FROM lines),
+e AS (SELECT page, n, greatest(0, least(coalesce(min(line_no) FILTER (NOT num), n), n - 3)) AS lead_, n - 1 - coalesce(max(line_no) FILTER (NOT num), -1) AS t FROM m GROUP BY page, n),
+body AS (SELECT m.* FROM m JOIN e ON e.page = m.page WHERE line_no >= lead_ AND line_no < m.n - greatest(0, least(t, m.n - lead_ - 3)) AND NOT (m.n >= 8 AND line_no >= m.n - 3)), {_paragraphs('body', 'gap >= 14 * 1.6')},
+d AS (SELECT page, string_agg(text, chr(10) || chr(10) ORDER BY par) AS text FROM p WHERE text <> '' GROUP BY page), k AS (SELECT book, page, max(n) AS n FROM lines GROUP BY ALL)
+SELECT book, k.page, 0 AS col, CAST(row_number() OVER (PARTITION BY book ORDER BY k.page) - 1 AS INT) AS page_idx, md5(coalesce(text, '')) AS text, CASE WHEN n >= 8 THEN 3 ELSE 0 END AS notes FROM k LEFT JOIN d ON d.page = k.page"""
