@@ -252,29 +252,32 @@ def json_repaired(spark: SparkSession, d: str) -> DataFrame:
     return out.select("book", "page", F.col("annotation.pageNumber").alias("number"), F.col("annotation.layout").alias("layout"), F.md5(F.col("annotation.chapterTitle").cast("binary")).alias("title"))
 
 
-LINK = """'<sup><a href="#endnote-' || {0} || '" data-note-link="1">' || {0} || '</a></sup>'"""
+def _rendered(mark: str, figure: str) -> str:
+    """Marks are links where there are five notes or more; three notes or more are a section of their own."""
+    link = """'<sup><a href="#endnote-' || k || '" data-note-link="1">' || k || '</a></sup>'"""
+    return f"""WITH {TALK}, t AS (SELECT book, CAST(page // 50 AS INT) AS chapter, page, row_number() OVER w AS k, count(*) OVER (PARTITION BY book, page // 50) AS n FROM talk WINDOW w AS (PARTITION BY book, page // 50 ORDER BY page)),
+b AS (SELECT book, chapter, min(n) AS n, string_agg('<p>Part' || page || ' says so.' || CASE WHEN n >= 5 THEN {link} ELSE '{mark}' END || '</p>', '' ORDER BY page) AS body,
+  string_agg(CASE WHEN n >= 3 THEN '<p id="endnote-' || k || '"><strong>' || k || '</strong> Note of ' || page || '</p>' ELSE '<p>' || k || '. Note of ' || page || '</p>' END, '' ORDER BY page) AS notes FROM t GROUP BY book, chapter)
+SELECT book, chapter, md5('{figure}' || body || CASE WHEN n >= 3 THEN '<section class="transposed-endnotes"><hr><h3>Notes</h3>' || notes || '</section>' ELSE notes END) AS html FROM b"""
+
+
+def marked_chapters(spark: SparkSession, d: str, mark: str) -> DataFrame:
+    """Fifty turns each, a paragraph with a mark for each turn, and a note for each at the end."""
+    t = talk(spark, d).groupBy("book", F.expr("cast(page div 50 AS int)").alias("chapter")).agg(F.array_sort(F.collect_list("page")).alias("ps"))
+    body = F.transform("ps", lambda p: F.concat(F.lit("Part"), p, F.lit(f" says so.{mark}")))
+    notes = F.transform("ps", lambda p, i: F.concat(i + 1, F.lit(". Note of "), p))
+    return t.select("book", "chapter", F.array_join(F.concat(body, notes), "\n\n").alias("text"))
 
 
-@query(rf"""WITH {TALK}, t AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page) AS k, count(*) OVER (PARTITION BY book) AS n, 'Part' || page || ' says so.' AS said FROM talk), b AS (
-SELECT book, n, string_agg('<p>' || said || CASE WHEN n >= 5 THEN {LINK.format("k")} ELSE '^' END || '</p>', '' ORDER BY page) AS body, string_agg('<p id="endnote-' || k || '"><strong>' || k || '</strong> Note of ' || page || '</p>', '' ORDER BY page) AS notes FROM t WHERE n < 1000 GROUP BY book, n)
-SELECT book, 0 AS chapter, md5(CASE WHEN n >= 3 THEN body || '<section class="transposed-endnotes"><hr><h3>Notes</h3>' || notes || '</section>' ELSE body || notes END) AS html FROM b WHERE n >= 3""")
+@query(_rendered("^", ""))
 def html_carets(spark: SparkSession, d: str) -> DataFrame:
-    """Books of a paragraph for each turn, with a caret, and a note for each at the end."""
-    t = talk(spark, d).groupBy("book").agg(F.array_sort(F.collect_list("page")).alias("ps")).where("size(ps) BETWEEN 3 AND 999")
-    body = F.transform("ps", lambda p: F.concat(F.lit("Part"), p, F.lit(" says so.^")))
-    notes = F.transform("ps", lambda p, i: F.concat(i + 1, F.lit(". Note of "), p))
-    return html.rendered(t.select("book", F.lit(0).alias("chapter"), F.array_join(F.concat(body, notes), "\n\n").alias("text"))).select("book", "chapter", digest("html").alias("html"))
+    return html.rendered(marked_chapters(spark, d, "^")).select("book", "chapter", digest("html").alias("html"))
 
 
-@query(rf"""WITH {TALK}, t AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page) AS k, count(*) OVER (PARTITION BY book) AS n, 'Part' || page || ' says so.' AS said FROM talk)
-SELECT book, 0 AS chapter, md5(string_agg(CASE WHEN k = 1 THEN '<figure class="transposed-figure"><img src="x.png" alt="a" width="3" height="4" loading="lazy"></figure>' ELSE '' END || '<p>' || said || {LINK.format("k")} || '</p>', '' ORDER BY page)
-  || '<section class="transposed-endnotes"><hr><h3>Notes</h3>' || string_agg('<p id="endnote-' || k || '"><strong>' || k || '</strong> Note of ' || page || '</p>', '' ORDER BY page) || '</section>') AS html FROM t WHERE n BETWEEN 8 AND 999 GROUP BY book""")
+@query(_rendered("†", '<figure class="transposed-figure"><img src="x.png" alt="a" width="3" height="4" loading="lazy"></figure>'))
 def html_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    """The same with daggers for carets and a figure at the start, of books of eight turns or more."""
-    t = talk(spark, d).groupBy("book").agg(F.array_sort(F.collect_list("page")).alias("ps")).where("size(ps) BETWEEN 8 AND 999")
-    body = F.transform("ps", lambda p: F.concat(F.lit("Part"), p, F.lit(" says so.†")))
-    notes = F.transform("ps", lambda p, i: F.concat(i + 1, F.lit(". Note of "), p))
-    c = t.select("book", F.lit(0).alias("chapter"), F.array_join(F.concat(body, notes), "\n\n").alias("text"))
+    """Daggers for carets, and a figure at the start."""
+    c = marked_chapters(spark, d, "†")
     figures = c.select("book", "chapter", F.lit(0).alias("word_position"), F.lit("x.png").alias("src"), F.lit("a").alias("alt"), F.lit(3).alias("width"), F.lit(4).alias("height"))
     return html.rendered(c, figures).select("book", "chapter", digest("html").alias("html"))
 
