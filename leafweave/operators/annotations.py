@@ -57,32 +57,54 @@ def cache_misses(pages: DataFrame, cache: DataFrame, key: str = "key") -> DataFr
     return pages.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def repaired_json(text: str | None) -> str | None:
-    """A model's JSON, made whole: without code fences, with bare tokens in flat arrays quoted, and what is cut off
-    at the end dropped or closed. None where that doesn't help either."""
-    s = (text or "").strip()
-    s = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", s))
+def _plain(x: str) -> bool:
+    """Whether an item of a flat array is a number, a word of JSON or in quotes."""
+    return bool(re.fullmatch(r"-?\d+(\.\d+)?|true|false|null", x)) or (x.startswith('"') and x.endswith('"'))
+
+
+def _loaded(text: str) -> str | None:
+    """A JSON text written anew, or None; NaN and infinities are no JSON."""
+
+    def refuse(name: str):
+        raise ValueError(name)
+
     try:
-        return json.dumps(json.loads(s), ensure_ascii=False)
+        return json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False)
     except ValueError:
-        pass
+        return None
+
+
+def _unfinished(text: str) -> Iterator[str]:
+    """A text that the end has cut off, made whole: first without its last string that isn't followed by another, and a
+    name without a value; then, where that is no JSON, without an open string alone, closed from the inside out."""
+    s = re.sub(r',?\s*"[^"]*":\s*\Z', "", re.sub(r',?\s*"[^"]*\Z', "", text, count=1), count=1)
+    outside = re.sub(r'"(?:\\.|[^"\\])*("|\Z)', "", s, flags=re.S)
+    s = re.sub(r",\s*\Z", "", s)
+    yield s + "]" * (outside.count("[") - outside.count("]")) + "}" * (outside.count("{") - outside.count("}"))
+    s = text
+    if len(re.findall(r'(?<!\\)"', s)) % 2:
+        s = s[: s.rindex('"')]
+    s = re.sub(r'[,{]\s*"[^"]*"\s*:?\s*$', lambda m: m[0][0] if m[0][0] == "{" else "", s)
+    s = re.sub(r",\s*$", "", s)
+    yield s + _closers(re.sub(r'"(?:\\.|[^"\\])*"', "", s))
+
+
+def repaired_json(text: str | None) -> str | None:
+    """A model's JSON, made whole: without code fences; with bare tokens in flat arrays quoted; and with what is cut off at
+    the end dropped or closed. Each step is tried before the next. None where none helps."""
+    s = re.sub(r"^```(?:json)?\s*", "", (text or "").strip())
+    s = re.sub(r"\n?```\s*$", "", s, count=1, flags=re.M).strip()
+    if (good := _loaded(s)) is not None:
+        return good
 
     def quoted(m: re.Match) -> str:
         items = [x.strip() for x in m[1].split(",")]
-        good = re.compile(r'^(?:"[^"]*"|-?\d+(?:\.\d+)?|true|false|null)$')
-        return "[" + ", ".join(x if not x or good.match(x) else json.dumps(x.strip('"'), ensure_ascii=False) for x in items) + "]"
+        return "[" + ", ".join(x if not x or _plain(x) else '"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in items) + "]"
 
-    s = re.sub(r"\[([^\[\]{}]*)\]", quoted, s)
-    if len(re.findall(r'(?<!\\)"', s)) % 2:  # a string that the end cut off
-        s = s[: s.rindex('"')]
-    s = re.sub(r'[,{]\s*"[^"]*"\s*:?\s*$', lambda m: m[0][0] if m[0][0] == "{" else "", s)
-    s = re.sub(r",\s*$", "", s)
-    outside = re.sub(r'"(?:\\.|[^"\\])*"', "", s)
-    for end in ("]" * (outside.count("[") - outside.count("]")) + "}" * (outside.count("{") - outside.count("}")), _closers(outside)):
-        try:
-            return json.dumps(json.loads(s + end), ensure_ascii=False)
-        except ValueError:
-            continue
+    s = re.sub(r"\[([^\[\]]*)\]", quoted, s) if not re.search(r"\[[^\[\]]*[{}][^\[\]]*\]", s) else re.sub(r"\[([^\[\]{}]*)\]", quoted, s)
+    for whole in (s, *_unfinished(s)):
+        if (good := _loaded(whole)) is not None:
+            return good
     return None
 
 

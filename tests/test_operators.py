@@ -114,7 +114,7 @@ def test_overall_of_known_scores(spark):
     assert [r.dimension for r in gated.where("status = 'regression'").collect()] == ["ocr_quality"]
 
 
-@pytest.mark.parametrize("text, want", [('```json\n{"a": 1}\n```', {"a": 1}), ('{"n": [1, †, x]}', {"n": [1, "†", "x"]}), ('{"a": [{"b": 1}, {"c": "cut o', {"a": [{"b": 1}, {}]}), ("nonsense", None), (None, None)])
+@pytest.mark.parametrize("text, want", [('```json\n{"a": 1}\n```', {"a": 1}), ('{"n": [1, †, x]}', {"n": [1, "†", "x"]}), ('{"a": [{"b": 1}, {"c": "cut o', {"a": [{"b": 1}, {}]}), ("nonsense", None), (None, None), ('{"a": 1, "b": "cut o', {"a": 1}), ('{"a": 1, "b":', {"a": 1}), ('{"a": ["x", "y', {"a": ["x"]}), ('{"a": [1, 2', {"a": [1, 2]}), ('{"a": [-1.5, true, "q", b\\c]}', {"a": [-1.5, True, "q", "b\\c"]}), ('{"a": NaN}', None)])
 def test_json_repair(text, want):
     got = annotations.repaired_json(text)
     assert (json.loads(got) if got else None) == want
