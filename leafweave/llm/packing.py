@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,10 +22,10 @@ LENGTH, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 
 #: How many words' ids a worker keeps; on reaching it, it starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
 
 #: The tokenizer file's own pre-tokens, and text on which its normaliser only lower-cases ASCII letters.
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _PLAIN = regex.compile(r"[!-~À-ÖØ-Þß-öø-ÿ]*").fullmatch
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]").search
 
@@ -42,6 +43,8 @@ class WordIds:
         self.kind = np.dtype("<u2" if max(self.whole.get_vocab_size(), end + 1) <= 65536 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.model = self.whole.model.tokenize
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{self.code}").pack for n in range(17)]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,27 +52,33 @@ class WordIds:
         self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
-
-    def _part(self, part: str) -> bytes:
-        out = self.parts.get(part)
-        if out is None:
-            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            out = self.parts[part] = self._pack([t.id for t in self.model(spelled)])
-        return out
+        n = len(ids)
+        return self.packs[n](*ids) if n < 17 else struct.pack(f"<{n}{self.code}", *ids)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.parts) + len(words) > MOST_WORDS:
             self.parts.clear()
-        rest = []
+        rest, alone, marked, made = [], [], [], []
         for w in words:
-            if _PLAIN(w) and "<|" not in w:
-                low = w.lower()
-                self.words[w] = self._part(low) if low.isalpha() else b"".join(map(self._part, _PRE.findall(low)))
-            else:
+            if not (w.isprintable() if w.isascii() else _PLAIN(w)) or "<|" in w:
                 rest.append(w)
+            elif (low := w.lower()).isalpha():
+                alone.append((w, low))
+            elif not low[-1].isalnum() and low[:-1].isalpha():  # letters and one mark are two pre-tokens
+                marked.append((w, low[:-1], low[-1]))
+            else:
+                made.append((w, _PRE(low)))
+        parts, model, pack = self.parts, self.model, self._pack
+        needed = {x[1] for x in alone}.union((x[1] for x in marked), (x[2] for x in marked), *(x for _, x in made))
+        for part in needed - parts.keys():
+            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            parts[part] = pack([t.id for t in model(spelled)])
+        get = parts.__getitem__
+        self.words.update((w, get(low)) for w, low in alone)
+        self.words.update((w, get(low) + get(mark)) for w, low, mark in marked)
+        self.words.update((w, b"".join(map(get, x))) for w, x in made)
         for w, e in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = self._pack(e.ids)
+            self.words[w] = pack(e.ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -96,8 +105,10 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         encode = held(("words", path, end_id), lambda: WordIds(path, end_id))
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, texts in blocks(b.column(1)):
+            for first, texts in blocks(b.column(1), 4 << 20):
+                gc.disable()  # what is made here has no cycles, and is much
                 ids = encode(texts)
+                gc.enable()
                 n = np.array([len(x) // encode.kind.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["id", "part", "at", "n", "ids"])
                 at += int(n.sum())
