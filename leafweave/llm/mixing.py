@@ -51,19 +51,21 @@ def draw(*columns: Column, seed: str = SEED) -> Column:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """rows (id, mark and others) with nth: 0, or for repeated (id, mark) the numbers from 0 on. Only repeated rows
-    move. They are numbered within the partition they come from, after the counts of the partitions before, so that
-    rows repeated without end meet in no task."""
+    """rows (id, mark, source and others) with nth: 0, or for repeated (id, mark) the numbers from 0 on, source by source,
+    so that which numbers a source's rows get doesn't depend on the partitions or the order the rows come in. Only
+    repeated rows move. They are numbered within the partition they come from, after the counts of the sources and
+    partitions before, so that rows repeated without end meet in no task."""
     same = lambda a, b, *names: reduce(and_, (a[n].eqNullSafe(b[n]) for n in names))
     again = broadcast_if_small(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark"))
     if not again.head(1):
         return rows.withColumn("nth", F.lit(0).cast("long"))
     placed = rows.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     some = persisted(placed.join(again, same(placed, again, "id", "mark"), "left_semi"), lasting=True)
-    counts = some.groupBy("id", "mark", "part").agg(F.count("*").alias("n"))
-    before = persisted(counts.select("id", "mark", "part", (F.sum("n").over(W.partitionBy("id", "mark").orderBy("part")) - F.col("n")).alias("before")), lasting=True)
-    within = some.withColumn("within", F.row_number().over(W.partitionBy("id", "mark", "part").orderBy("row")) - 1)
-    numbers = within.join(before, same(within, before, "id", "mark", "part")).select(*(within[c] for c in rows.columns), (F.col("within") + F.col("before")).alias("nth"))
+    key = ("id", "mark", "source", "part")
+    counts = some.groupBy(*key).agg(F.count("*").alias("n"))
+    before = persisted(counts.select(*key, (F.sum("n").over(W.partitionBy("id", "mark").orderBy("source", "part")) - F.col("n")).alias("before")), lasting=True)
+    within = some.withColumn("within", F.row_number().over(W.partitionBy(*key).orderBy("row")) - 1)
+    numbers = within.join(before, same(within, before, *key)).select(*(within[c] for c in rows.columns), (F.col("within") + F.col("before")).alias("nth"))
     return rows.join(again, same(rows, again, "id", "mark"), "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(numbers)
 
 
@@ -85,7 +87,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """id, mark (the text's MD5), source, size, source_size, target and copies of each row of docs: floor(rate) copies,
     and one more with the rest of the rate as its probability, drawn by a hash of the id, the text and, for rows that
-    repeat both, the row's number among them; so reruns and lost tasks agree.
+    repeat both, the row's number among them, source by source; so reruns and lost tasks agree, and any order or
+    partitions of the same rows give the same result.
 
     Null texts have size 0; rows without a source are a source of their own, the last. A source without words has
     rate 0. Rows with equal or null ids draw each for itself. Texts are read once, their sizes written; sizes are
@@ -96,7 +99,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as copies() says, with the columns of docs, whatever their names."""
+    """The mix itself: each row of docs as often as copies() says, with the columns of docs, whatever their names. Which
+    of the rows that repeat id, text and source gets which of their numbers follows the rows' order; it shows only where
+    their other columns differ."""
     keyed = _keyed(docs, id_col, text_col, source_col)
     out = _planned(keyed.drop("doc", "mark"), keyed.drop("size"), weights, most, seed).where("copies > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -61,6 +61,14 @@ def test_repeated_and_null_ids_draw_each_for_itself(documents):
     assert told(documents(rows, parts=2)) == told(documents(rows, parts=2))
 
 
+def test_order_and_partitions_of_repeated_rows_change_nothing(documents):
+    rows = [(None, "same words here", f"s{k % 3}") for k in range(120)] + [(7, "w w", (None, "a", "b")[k % 3]) for k in range(120)]
+    mixed = lambda docs: Counter((x.doc_id, x.text, x.source) for x in M.mix(docs).collect())
+    for parts, other in ((1, rows[::-1]), (5, random.Random(1).sample(rows, len(rows)))):
+        assert told(documents(rows, parts=1)) == told(documents(other, parts=parts))
+        assert mixed(documents(rows, parts=1)) == mixed(documents(other, parts=parts))
+
+
 def test_mix_repeats_rows_with_their_columns(documents, awkward):
     rows = [(i, t, "a") for i, t in awkward] + [(100 + i, "w " * (i % 7), "b") for i in range(100)]
     docs = documents(rows)
