@@ -3,38 +3,38 @@
 from __future__ import annotations
 
 import gc
-import struct
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters, digits
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import blocks, bounded_batches, broadcast_if_small, held, persisted
+from leafweave.llm.common import bounded_batches, broadcast_if_small, held, persisted, runs_of
 
 LENGTH, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 
-#: How many words' ids a worker keeps; on reaching it, it starts anew.
-MOST_WORDS = 400_000
-
-#: The tokenizer file's own pre-tokens, and text on which its normaliser only lower-cases ASCII letters.
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-_PLAIN = regex.compile(r"[!-~À-ÖØ-Þß-öø-ÿ]*").fullmatch
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]").search
+#: How many words' ids a worker keeps, and the longest words kept; at that number it starts anew with those in use.
+MOST_WORDS, LONGEST = 700_000, 64
+#: Words encoded at once, one after the other, and what stands after each: a pre-token and an id of its own.
+TOGETHER, MARK = 1000, "\x02"
+_ALNUM, _STOP = (np.array([chr(c) in some for c in range(256)]) for some in (ascii_letters + digits, ".,;:!?)"))
 
 
 class WordIds:
-    """Ids of texts as the tokenizer's library gives them, by way of white-space runs: no pre-token of this tokenizer
-    holds white space and its normaliser does not look across it, so a text's ids are those of its runs, one after
-    the other. Runs that recur are looked up; those of plain letters go to the model alone, the rest through the
-    whole tokenizer. Texts with characters that Python and the tokenizer disagree on as white space go through it whole."""
+    """Ids of texts as the tokenizer's library gives them, by way of runs without ASCII white space: no pre-token of this
+    tokenizer holds white space and its normaliser does not look across it, so a text's ids are those of its runs, one
+    after the other. Arrow cuts the texts and finds each block's distinct runs; ids of those that recur are looked up,
+    the others go through the whole tokenizer, many at once. A last stop after an ASCII letter or digit is a pre-token
+    of its own, and so a run of its own. Case is folded beforehand in ASCII runs alone, as letters with combining marks
+    may compose in one case only, and never in what may hold a special string, which is told by case."""
 
     def __init__(self, path: str, end: int = END_ID):
         from tokenizers import Tokenizer
@@ -42,57 +42,69 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.whole.get_vocab_size(), end + 1) <= 65536 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.model = self.whole.model.tokenize
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.packs = [struct.Struct(f"<{n}{self.code}").pack for n in range(17)]
+        (self.mark,) = self.whole.encode(MARK, add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        n = len(ids)
-        return self.packs[n](*ids) if n < 17 else struct.pack(f"<{n}{self.code}", *ids)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.parts) + len(words) > MOST_WORDS:
-            self.parts.clear()
-        rest, alone, marked, made = [], [], [], []
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words."""
+        some, out = [], {}
         for w in words:
-            if not (w.isprintable() if w.isascii() else _PLAIN(w)) or "<|" in w:
-                rest.append(w)
-            elif (low := w.lower()).isalpha():
-                alone.append((w, low))
-            elif not low[-1].isalnum() and low[:-1].isalpha():  # letters and one mark are two pre-tokens
-                marked.append((w, low[:-1], low[-1]))
+            if len(w) > LONGEST or "<|" in w or MARK in w:
+                out[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
             else:
-                made.append((w, _PRE(low)))
-        parts, model, pack = self.parts, self.model, self._pack
-        needed = {x[1] for x in alone}.union((x[1] for x in marked), (x[2] for x in marked), *(x for _, x in made))
-        for part in needed - parts.keys():
-            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            parts[part] = pack([t.id for t in model(spelled)])
-        get = parts.__getitem__
-        self.words.update((w, get(low)) for w, low in alone)
-        self.words.update((w, get(low) + get(mark)) for w, low, mark in marked)
-        self.words.update((w, b"".join(map(get, x))) for w, x in made)
-        for w, e in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = pack(e.ids)
+                some.append(w)
+        for first in range(0, len(some), TOGETHER):
+            part = some[first : first + TOGETHER]
+            ids = np.array(self.whole.encode(f" {MARK} ".join([*part, ""]), add_special_tokens=False).ids, self.kind)
+            packed, size = ids.tobytes(), self.kind.itemsize
+            last = np.flatnonzero(ids == self.mark) * size
+            out.update(zip(part, map(packed.__getitem__, map(slice, [0, *(last + size).tolist()[:-1]], last.tolist())), strict=True))
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        split = [None if _ODD_SPACE(t) else t.split() for t in texts]
-        needed = set().union(*(x for x in split if x))
-        missing = needed - self.words.keys()
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, of which short ones are kept."""
+        found = list(map(self.words.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not missing:
+            return found
         if len(self.words) + len(missing) > MOST_WORDS:
-            self.words.clear()
-            missing = needed
-        self._learn(missing)
-        for t, x in zip(texts, split, strict=True):
-            ids = self._pack(self.whole.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(self.words.__getitem__, x))
-            out.append(ids + self.end)
-        return out
+            self.words = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
+        learnt = self._learn(missing)
+        self.words.update((w, learnt[w]) for w in missing[: MOST_WORDS - len(self.words)] if len(w) <= LONGEST)
+        return [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def packed(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, and the end, as little-endian numbers; null counts as empty."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        texts = pa.compute.fill_null(texts.cast(pa.string()), "")
+        split = pa.compute.ascii_split_whitespace(texts)
+        runs, first = split.flatten(), np.asarray(split.offsets, np.int64)
+        first = first - first[0]
+        # Last stops are cut off by one more offset each; the letters stay where they are.
+        at = np.frombuffer(runs.buffers()[1], "<i4", len(runs) + 1, 4 * runs.offset)
+        letters = np.frombuffer(runs.buffers()[2] or b"", np.uint8)
+        stopped = np.flatnonzero(np.diff(at) > 1)
+        last = at[stopped + 1]
+        stopped = stopped[_STOP[letters[last - 1]] & _ALNUM[letters[last - 2]]] + 1
+        at = np.insert(at, stopped, at[stopped] - 1)
+        first += np.searchsorted(stopped, first, side="right")
+        runs = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), runs.buffers()[2]])
+
+        plain = pa.compute.string_is_ascii(runs)
+        if pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py():
+            plain = pa.compute.and_not(plain, pa.compute.match_substring(runs, "<|"))
+        low = pa.compute.ascii_lower(runs)
+        coded = (low if pa.compute.all(plain).as_py() else pa.compute.if_else(plain, low, runs)).dictionary_encode()
+        known = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array([*known, self.end], pa.binary())
+        which = np.insert(coded.indices.to_numpy(), first[1:], len(known))
+        ids = ids.take(pa.array(which))
+        ends = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1)[first + np.arange(len(first))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), ids.buffers()[2]])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.packed(pa.array(texts, pa.string())).to_pylist()
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -105,12 +117,12 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         encode = held(("words", path, end_id), lambda: WordIds(path, end_id))
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, texts in blocks(b.column(1), 4 << 20):
+            for first, rows in runs_of(b.column(1), 4 << 20):
                 gc.disable()  # what is made here has no cycles, and is much
-                ids = encode(texts)
+                ids = encode.packed(b.column(1).slice(first, rows))
                 gc.enable()
-                n = np.array([len(x) // encode.kind.itemsize for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["id", "part", "at", "n", "ids"])
+                n = np.diff(np.frombuffer(ids.buffers()[1], "<i4", rows + 1)).astype(np.int64) // encode.kind.itemsize
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(np.full(rows, part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), ids], names=["id", "part", "at", "n", "ids"])
                 at += int(n.sum())
 
     return bounded_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))).mapInArrow(tokenise, f"id {kind}, part int, at long, n long, ids binary")
